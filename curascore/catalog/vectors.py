@@ -97,8 +97,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = V.features(spark, sf)
     head = PB.head_of(PB.fit_linear_probe(rows), rows)
-    unit = rows.withColumn("features", VE.l2_normalize("features"))
-    return S.predict_linear(unit, head).select("sample_id", "y_true", "y_pred")
+    return S.predict_linear(rows, head, unit=True).select("sample_id", "y_true", "y_pred")
 
 
 @query("ve8_sweep_probe")
@@ -117,7 +116,8 @@ def _(spark, sf):
 
 
 @query("ve10_check_dimensions", """
-select len(features)::int as width, count(*) as n, len(features) = 64 as fits, 10::int as head_classes from features group by 1""",
+select width, count(*) as n, width = 64 as fits, 10::int as head_classes from (select len(features)::int as width from features) f
+group by width""",
        ("features",))
 def _(spark, sf):
     return S.check_dimensions(V.features(spark, sf), V.N_FEATURE_CLASSES, 64)
@@ -163,18 +163,18 @@ def _ids_sql(vector: str) -> str:
     return f"array_to_string(list_transform({vector}, lambda x: x::varchar), ' ') as ids"
 
 
-_ANCHORED = {"anchored": "select *, list_filter(range(1, len(ids)), lambda i: ids[i:i+1] = [5, 2])[1] as at from tokens"}
+_ANCHORED = {"anchored": "select *, list_filter(range(1, len(ids)), lambda i: ids[i:i+1] = [5, 2])[1] as start_at from tokens"}
 
 
 @query("ve12_mask_before_anchor", f"""
-select conv_id, turn, {_ids_sql('list_transform(ids, lambda x, i: case when i < at then -100 else x end)')} from anchored where at is not null""",
+select conv_id, turn, {_ids_sql('list_transform(ids, lambda x, i: case when i < start_at then -100 else x end)')} from anchored where start_at is not null""",
        ("tokens",), _ANCHORED)
 def _(spark, sf):
     rows = V.tokens(spark, sf).withColumn("masked", TK.mask_before_anchor("ids", V.ANCHOR))
     return rows.where(F.col("masked").isNotNull()).select("conv_id", "turn", _ids(F.col("masked")))
 
 
-@query("ve12_missing_anchor", f"select conv_id, turn, {_ids_sql('ids')} from anchored where at is null", ("tokens",), _ANCHORED)
+@query("ve12_missing_anchor", f"select conv_id, turn, {_ids_sql('ids')} from anchored where start_at is null", ("tokens",), _ANCHORED)
 def _(spark, sf):
     rows = V.tokens(spark, sf).withColumn("at", TK.anchor_position("ids", V.ANCHOR))
     return rows.where(F.col("at").isNull()).select("conv_id", "turn", _ids(F.col("ids")))

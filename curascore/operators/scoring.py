@@ -114,9 +114,13 @@ def with_logits(df: DataFrame, head: DataFrame | Dimension, features: str = "fea
     return df.withColumn(name, parts[0] if len(parts) == 1 else F.concat(*parts))
 
 
-def predict_linear(df: DataFrame, head: DataFrame | Dimension, features: str = "features") -> DataFrame:
-    """Add the best class of a linear head."""
-    return _best_class(df, head, "weights", "bias", features, unit=False)
+def predict_linear(df: DataFrame, head: DataFrame | Dimension, features: str = "features", unit: bool = False) -> DataFrame:
+    """Add the best class of a linear head; ``unit`` normalises the features first, as probe heads expect.
+
+    Leave the normalisation to ``unit`` rather than to a projected ``l2_normalize``: the optimizer would move
+    that lambda into the argument of the Arrow function, and does not always recognise it there again.
+    """
+    return _best_class(df, head, "weights", "bias", features, unit)
 
 
 def prototypes_as_head(prototypes: DataFrame) -> DataFrame:

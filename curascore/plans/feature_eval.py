@@ -17,6 +17,4 @@ def zero_shot_metrics(samples: DataFrame, prototypes: DataFrame | Dimension | No
 
 def probe_metrics(samples: DataFrame, head: DataFrame | Dimension) -> DataFrame:
     """Macro metrics of a stored linear head over normalised features."""
-    from curascore.functions.vectors import l2_normalize
-
-    return metrics_by_view(predict_linear(samples.withColumn("features", l2_normalize("features")), head))
+    return metrics_by_view(predict_linear(samples, head, unit=True))

@@ -35,7 +35,8 @@ def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTP
     """Parsed-output CSV with a header; quoted fields may hold line breaks and doubled quotes."""
     return (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
+        .options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True,
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )
 

@@ -9,8 +9,10 @@ from curascore.functions.prompts import training_conversation
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """The listed columns in the listed order, with a header and standard quoting."""
-    df.select(*columns).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """The listed columns in the listed order, with a header and standard quoting; whitespace is kept."""
+    df.select(*columns).write.mode("overwrite").options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def publish(df: DataFrame, path: str) -> None:
