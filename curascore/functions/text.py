@@ -101,20 +101,28 @@ def _joined(first: Column, second: Column) -> Column:
     ).otherwise(F.concat(F.lower(first), F.lit("_"), second))
 
 
+def _first_pattern(out: Column, patterns: Sequence[str]) -> Column:
+    """Label by the first pattern that matches, else null; a later pattern runs only where earlier ones failed."""
+    if not patterns:
+        return F.lit(None).cast("string")
+    return let(
+        F.regexp_extract(out, patterns[0], 1),
+        lambda first: F.when(
+            first != "", let(F.regexp_extract(out, patterns[0], 2), lambda second: _joined(first, second))
+        ).otherwise(_first_pattern(out, patterns[1:])),
+    )
+
+
 def parse_output(c: Column | str) -> Column:
     """struct(label, is_fallback): the patterns in order, then the key-value scan.
 
     The fallback flag is also set when the scan fails, as failures count as both.
     """
     out = col_of(c)
-    label = None
-    for pattern in OUTPUT_PATTERNS:
-        first, second = F.regexp_extract(out, pattern, 1), F.regexp_extract(out, pattern, 2)
-        label = (label.when if label is not None else F.when)(first != "", _joined(first, second))
     return let(
-        label,
+        _first_pattern(out, OUTPUT_PATTERNS),
         lambda direct: F.struct(
-            F.when(direct.isNotNull(), direct).otherwise(parse_key_values(out)).alias("label"),
+            F.when(direct.isNotNull(), direct).when(out.isNotNull(), parse_key_values(out)).alias("label"),
             (direct.isNull() & out.isNotNull()).alias("is_fallback"),
         ),
     )
@@ -123,23 +131,27 @@ def parse_output(c: Column | str) -> Column:
 def parse_zero_shot(c: Column | str) -> Column:
     """struct(label, is_fallback) for the zero-shot answer form; the flag is never set."""
     out = col_of(c)
-    parts = F.struct(
-        F.regexp_extract(out, ZERO_SHOT_HEAD, 1).alias("raw"),
-        strip(F.regexp_extract(out, ZERO_SHOT_HEAD, 1)).alias("crop"),
-        strip(F.regexp_extract(out, ZERO_SHOT_HEAD, 2)).alias("disease"),
-    )
 
     def tidy(text: Column) -> Column:
         return F.replace(F.lower(text), F.lit(" "), F.lit("_"))
 
-    def label(p: Column) -> Column:
+    def label(crop: Column, disease: Column) -> Column:
         bare = F.when(
-            F.contains(p["disease"], p["crop"]),
-            F.replace(p["disease"], F.concat(p["crop"], F.lit(" ")), F.lit("")),
-        ).otherwise(p["disease"])
-        return F.when(p["raw"] != "", F.concat(tidy(p["crop"]), F.lit("_"), tidy(bare))).otherwise(F.lit(FALSE_PARSE))
-
-    return F.struct(let(parts, label).alias("label"), F.lit(False).alias("is_fallback"))
+            F.contains(disease, crop), F.replace(disease, F.concat(crop, F.lit(" ")), F.lit(""))
+        ).otherwise(disease)
+        return F.concat(tidy(crop), F.lit("_"), tidy(bare))
+
+    found = let(
+        F.regexp_extract(out, ZERO_SHOT_HEAD, 1),
+        lambda raw: F.when(
+            raw != "",
+            let(
+                F.struct(strip(raw).alias("crop"), strip(F.regexp_extract(out, ZERO_SHOT_HEAD, 2)).alias("disease")),
+                lambda p: label(p["crop"], p["disease"]),
+            ),
+        ).otherwise(F.lit(FALSE_PARSE)),
+    )
+    return F.struct(found.alias("label"), F.lit(False).alias("is_fallback"))
 
 
 def decode_choice(output: Column | str, options: Column | str) -> Column:
@@ -149,10 +161,13 @@ def decode_choice(output: Column | str, options: Column | str) -> Column:
 
 
 def first_contained(output: Column | str, labels: Sequence[str]) -> Column:
-    """First label in list order that occurs in the output, else ``false_parse``."""
+    """First label in list order that occurs in the output, else ``false_parse``.
+
+    One branch per label, so the search is compiled and stops at the first hit.
+    """
     out = col_of(output)
-    found = F.filter(F.array(*[F.lit(x) for x in labels]), lambda label: F.contains(out, label))
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(FALSE_PARSE))
+    hits = [F.when(F.contains(out, F.lit(label)), F.lit(label)) for label in labels]
+    return F.coalesce(*hits, F.lit(FALSE_PARSE))
 
 
 # ---------------------------------------------------------------- report text

@@ -12,6 +12,8 @@ from curascore.operators.labels import encode_labels, label_list
 from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.settings import CHOICE_KEYS, EVALUATION_SEED, FALSE_PARSE
 
+MAX_BRANCHES = 512  # labels searched by one compiled expression
+
 
 def _choice_slots(position: Column, n_labels: int | Column, seed: int, row_id: str) -> Column:
     """array of 4 label positions (0-based): three distinct distractors and the true one, in shuffled order.
@@ -81,12 +83,12 @@ def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "
                   row_id: str = "sample_id") -> DataFrame:
     """First label in list order that occurs in the output, else ``false_parse``.
 
-    A proven small class list becomes one array expression. A larger one is matched by an equi-join on the
-    first characters of the label against the substrings of that length of the output.
+    A short class list becomes one compiled expression. A longer one is matched by an equi-join on the first
+    characters of the label against the substrings of that length of the output.
     """
     table = bounded(classes)
     labels = label_list(table, "list_pos")
-    if labels is not None:
+    if labels is not None and len(labels) <= MAX_BRANCHES:
         return df.withColumn(name, first_contained(output, labels))
     return _context_match_by_join(df, table.frame, output, name, row_id)
 

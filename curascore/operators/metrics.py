@@ -13,25 +13,27 @@ from curascore.operators.labels import with_views
 from curascore.settings import FALSE_PARSE, VIEWS
 
 
-def confusion_long(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count per (keys, view, true, predicted). Rows without a predicted class take no part."""
+def confusion_long(df: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Count per (keys, view, true, predicted). Rows without a predicted class take no part.
+
+    ``weight`` names a count column where rows are already aggregated.
+    """
     extra = keys or []
     pre = (
         df.where(F.col("y_pred").isNotNull() & F.col("y_true").isNotNull())
         .groupBy(*extra, "source", "y_true", "y_pred")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     )
     return with_views(pre).groupBy(*extra, "view", "y_true", "y_pred").agg(F.sum("_n").alias("n"))
 
 
-def confusion_matrix(counts: DataFrame, n_classes: int, keys: list[str] | None = None) -> DataFrame:
+def confusion_matrix(counts: DataFrame, n_classes: int, views: tuple[str, ...] = VIEWS) -> DataFrame:
     """Wide n x n matrix per view: one row per true class, columns ``p0..`` by predicted class, zeros filled."""
-    on = [*(keys or []), "view"]
-    groups = counts.select(*on).distinct()
-    rows = groups.withColumn("y_true", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
-    wide = counts.groupBy(*on, "y_true").pivot("y_pred", list(range(n_classes))).agg(F.sum("n"))
-    wide = wide.select(*on, "y_true", *[F.col(str(i)).alias(f"p{i}") for i in range(n_classes)])
-    return rows.join(wide, [*on, "y_true"], "left").na.fill(0)
+    rows = counts.sparkSession.range(n_classes).select(
+        F.explode(F.array(*[F.lit(v) for v in views])).alias("view"), F.col("id").cast("int").alias("y_true"))
+    wide = counts.groupBy("view", "y_true").pivot("y_pred", list(range(n_classes))).agg(F.sum("n"))
+    wide = wide.select("view", "y_true", *[F.col(str(i)).alias(f"p{i}") for i in range(n_classes)])
+    return rows.join(wide, ["view", "y_true"], "left").na.fill(0)
 
 
 def per_class_counts(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -133,18 +135,25 @@ def top_confusions(counts: DataFrame, k: int, view: str = "main") -> DataFrame:
     return cells.orderBy(F.desc("n"), "y_true", "y_pred").limit(k).select("y_true", "y_pred", "n")
 
 
-def parse_quality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def parse_quality(df: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """False parses, fallbacks and success rate per view; the total is all rows, also out-of-vocabulary ones.
 
     Only rows inside the vocabulary count as fallbacks, which includes false parses found by the fallback scan.
+    Needs ``source``, ``y_pred``, ``is_false_parse`` (or ``label``) and ``is_fallback``.
     """
     extra = keys or []
+    one = F.col(weight) if weight else F.lit(1).cast("bigint")
     known = F.col("y_pred").isNotNull()
+    failed = F.col("is_false_parse") if "is_false_parse" in df.columns else F.col("label") == FALSE_PARSE
+
+    def rows(condition):
+        return F.coalesce(F.sum(F.when(condition, one)), F.lit(0).cast("bigint"))
+
     pre = df.groupBy(*extra, "source").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(known & (F.col("label") == FALSE_PARSE)).alias("false_parse"),
-        F.count_if(known & F.col("is_fallback")).alias("fallback"),
-        F.count_if(~known).alias("out_of_vocabulary"),
+        F.sum(one).alias("total"),
+        rows(known & failed).alias("false_parse"),
+        rows(known & F.col("is_fallback")).alias("fallback"),
+        rows(~known).alias("out_of_vocabulary"),
     )
     names = ["total", "false_parse", "fallback", "out_of_vocabulary"]
     return (
@@ -154,11 +163,10 @@ def parse_quality(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def outcome_tally(df: DataFrame, labels: list[str], label: str = "label") -> DataFrame:
-    """Rows per named prediction, ``other`` and ``total``."""
+    """Rows per named prediction, ``other`` and ``total``, in one pass."""
     named = F.when(F.col(label).isin(*labels), F.col(label)).otherwise("other")
-    counts = df.groupBy(named.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("outcome"), "n")
-    return counts.unionByName(total)
+    tally = df.select(named.alias("outcome")).rollup("outcome").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_total"))
+    return tally.select(F.when(F.col("_total") == 1, "total").otherwise(F.col("outcome")).alias("outcome"), "n")
 
 
 def sort_classes(df: DataFrame, class_id: str = "class_id") -> DataFrame:

@@ -33,7 +33,7 @@ def positions(df: DataFrame, order: list[Column | str], name: str = "pos") -> Da
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1)
     return (
-        staged.join(F.broadcast(offsets), "_part")
+        lookup_join(staged, bounded(offsets, max_rows=1_000_000), "_part")
         .withColumn(name, F.col("_offset") + within)
         .select(*df.columns, name)
     )

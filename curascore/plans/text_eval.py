@@ -24,23 +24,39 @@ def judge(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None =
     return encode_labels(rows, table, "crop_disease_label").withColumnRenamed("class_id", "y_true")
 
 
+def condense(judged: DataFrame) -> Dimension:
+    """Rows per (source, y_true, y_pred, is_false_parse, is_fallback): all that the metrics need.
+
+    Parsing is the costly step, so its result is counted once; the counts depend on the classes, not the rows.
+    """
+    return bounded(judged.groupBy(
+        "source", "y_true", "y_pred", (F.col("label") == FALSE_PARSE).alias("is_false_parse"), "is_fallback"
+    ).agg(F.count(F.lit(1)).alias("n")), max_rows=1_000_000)
+
+
+def metrics_of(counts: DataFrame) -> DataFrame:
+    return per_class_metrics(per_class_counts(confusion_long(counts, weight="n")))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    quality = parse_quality(counts, weight="n").select("view", "success_rate", "false_parse", "fallback", "out_of_vocabulary")
+    return macro_metrics(metrics_of(counts)).join(F.broadcast(quality), "view")  # one row per view
+
+
 def summary(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None = None,
             classes: DataFrame | Dimension | None = None) -> DataFrame:
     """One row per view: macro metrics next to the parse counts."""
-    judged = judge(outputs, vocab, regime, classes)
-    macro = macro_metrics(per_class_metrics(per_class_counts(confusion_long(judged))))
-    quality = parse_quality(judged).select("view", "success_rate", "false_parse", "fallback", "out_of_vocabulary")
-    return macro.join(F.broadcast(quality), "view")  # one row per view
+    return summary_of(condense(judge(outputs, vocab, regime, classes)).frame)
 
 
 def report_tables(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None = None,
                   classes: DataFrame | Dimension | None = None, sample_rows: int = PARSE_SAMPLE_ROWS) -> dict[str, DataFrame]:
     """The four report tables: summary, per-class, failed outputs, parse samples."""
     judged = judge(outputs, vocab, regime, classes)
-    metrics = per_class_metrics(per_class_counts(confusion_long(judged)))
+    counts = condense(judged).frame
     return {
-        "summary": summary(outputs, vocab, regime, classes),
-        "per_class": combine_views(metrics),
+        "summary": summary_of(counts),
+        "per_class": combine_views(metrics_of(counts)),
         "failed_outputs": judged.where(F.col("label") == FALSE_PARSE).select("sample_id", escape_output("output").alias("failed_output")),
         "parse_samples": first_n(judged, sample_rows, EVALUATION_SEED).select("pos", "y_true", escape_output("output").alias("parsed_output")),
     }

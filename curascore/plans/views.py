@@ -9,11 +9,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curascore.functions.text import compose_label
 from curascore.operators.labels import class_table, encode_labels
 from curascore.operators.lookup import Dimension, bounded
+from curascore.session import spread
 
 N_CROPS, N_DISEASES = 25, 5
 N_CLASSES = N_CROPS * N_DISEASES
@@ -22,24 +22,29 @@ VIEW_TARGETS = {"train": 100, "test": 12, "validation": 12}
 ANCHOR = [5, 2]
 SPECIALS = [1, 12]
 
-ORDERS = T.StructType([
-    T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
-    T.StructField("o_orderpriority", T.StringType()),
-])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fact(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The listed columns of a table whose rows are worked on one by one."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def shape_samples(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Samples from orders; also used with a stream of orders."""
+    """Samples from orders; also used with a stream of orders.
+
+    Neither join is hinted: both tables may be large, so the planner and adaptive execution (with its split of
+    skewed partitions) choose by their real size.
+    """
     who = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey")
     nk, ok = F.col("n_nationkey"), F.col("o_orderkey")
+    joined = orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    if not orders.isStreaming:
+        joined = spread(joined, orders)
     return (
-        orders.select("o_orderkey", "o_custkey", "o_orderpriority")
-        .join(who, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
+        joined.select(
             ok.alias("sample_id"),
             F.concat(F.when(nk % 2 == 0, "Plant").otherwise("Plant "), F.char(nk + 65)).alias("crop"),
             F.replace(
@@ -139,7 +144,7 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word lengths stand in for token ids."""
-    return table(spark, sf_dir, "conversations").select(
+    return fact(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
         "conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids")
     )
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
 
@@ -45,3 +45,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
             _LOCAL_SCRATCH.append(folder)
         base = _LOCAL_SCRATCH[0]
     return os.path.join(base, f"{tag}-{uuid.uuid4().hex}")
+
+
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt out evenly over the cores where its ``scan`` has fewer partitions than that; else as it is.
+
+    This only concerns inputs of a few small files, where row-wise parsing would otherwise use one core. The
+    partitions of a plain scan are known without running anything; those of a join are not, hence ``scan``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df

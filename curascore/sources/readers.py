@@ -31,11 +31,15 @@ def load_samples(spark: SparkSession, path: str, split: str | None = None, schem
     return df if split is None else df.where(F.col("split") == split)
 
 
-def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTPUT_SCHEMA) -> DataFrame:
-    """Parsed-output CSV with a header; quoted fields may hold line breaks and doubled quotes."""
+def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTPUT_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """Parsed-output CSV with a header; quoted fields may hold line breaks and doubled quotes.
+
+    A file with line breaks in fields is read by one task; pass ``multi_line=False`` for files whose outputs
+    are escaped to one line, which can be split.
+    """
     return (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True,
+        .options(header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=True,
                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )

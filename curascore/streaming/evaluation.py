@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curascore.functions.text import parse_output, parse_zero_shot
-from curascore.operators.labels import with_views
+from curascore.operators.metrics import confusion_long
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,14 +30,14 @@ def streaming_parse(stream: DataFrame, output: str = "output", regime: str | Non
 
 
 def streaming_confusion(stream: DataFrame) -> DataFrame:
-    """Running count per (view, true, predicted).
+    """Running count per (source, true, predicted).
 
-    State holds one number per key, at most views x classes^2 of them; partial counts are made before the
-    shuffle, so a hot class does not travel row by row.
+    State holds one number per key, at most sources x classes^2 of them; partial counts are made before the
+    shuffle, so a hot class does not travel row by row. Views are formed from the counts, not from the rows.
     """
     return (
-        with_views(stream.where(F.col("y_pred").isNotNull()).select("source", "y_true", "y_pred"))
-        .groupBy("view", "y_true", "y_pred")
+        stream.where(F.col("y_pred").isNotNull() & F.col("y_true").isNotNull())
+        .groupBy("source", "y_true", "y_pred")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -45,21 +45,21 @@ def streaming_confusion(stream: DataFrame) -> DataFrame:
 def run_confusion(stream: DataFrame, path: str) -> DataFrame:
     """Drain the stream; each micro-batch replaces the snapshot folder of its batch id, so a retry is harmless.
 
-    Returns the last snapshot.
+    Returns the confusion counts per view of the last snapshot.
     """
     counts = streaming_confusion(stream)
     seen: list[int] = []
 
     def snapshot(batch: DataFrame, batch_id: int) -> None:
         seen.append(batch_id)
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
+        confusion_long(batch, weight="n").write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
 
     query = (
         counts.writeStream.outputMode("complete").foreachBatch(snapshot)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return counts.sparkSession.read.parquet(f"{path}/snapshots/batch={max(seen)}").drop("batch_id")
+    return counts.sparkSession.read.parquet(f"{path}/snapshots/batch={max(seen)}")
 
 
 def run_parse(parsed: DataFrame, path: str) -> DataFrame:
