@@ -99,9 +99,7 @@ def _(spark, sf):
     # The whole curation flow: balance, sample, label, publish by split; read back.
     path = scratch_path(spark, "curated")
     curate.build_dataset(V.samples(spark, sf), path, V.VIEW_TARGETS)
-    schema = readers.SAMPLE_SCHEMA.fields[:-1]
-    full = type(readers.SAMPLE_SCHEMA)([*schema, *[f for f in spark.read.parquet(path).schema.fields if f.name in ("balance_case", "split")]])
-    return readers.load_samples(spark, path, schema=full)
+    return readers.load_samples(spark, path, schema=readers.CURATED_SCHEMA)
 
 
 @query("io7_list_checkpoints")
@@ -127,7 +125,7 @@ def _(spark, sf):
 select sample_id, '''' || replace(output, chr(10), '\\n') || '''' as failed_output from parsed where label = 'false_parse'""",
        PARSED_VIEWS, PARSED)
 def _(spark, sf):
-    return text_eval.report_tables(V.outputs(spark, sf), vocab_with_failure(spark, sf))["failed_outputs"]
+    return text_eval.failed_outputs(text_eval.judge(V.outputs(spark, sf), vocab_with_failure(spark, sf)))
 
 
 @query("io9_head_round_trip", """

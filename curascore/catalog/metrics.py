@@ -214,3 +214,18 @@ select m.*, q.success_rate, q.false_parse, q.fallback, q.out_of_vocabulary from
        PARSED_VIEWS, {**_TEXT, **_QUALITY, **confusion_sql("judged"), **per_class_sql()})
 def _(spark, sf):
     return rounded(text_eval.summary(V.outputs(spark, sf), vocab_with_failure(spark, sf)))
+
+
+_RUN_TEXT = {**PARSED, "judged": "select c.sample_id % 9 as run_id, c.sample_id, c.source, c.label, c.is_fallback, t.class_id as y_true, c.y_pred"
+             " from coded c join vocab t on c.crop_disease_label = t.label"}
+
+
+@query("flow_text_evaluation_by_run", f"""
+select m.*, q.success_rate, q.false_parse, q.fallback, q.out_of_vocabulary from ({macro_sql("run_id")}) m join (
+  select run_id, view, round((count(*) - count(*) filter (label = 'false_parse'))::double / count(*), 6) as success_rate,
+    count(*) filter (label = 'false_parse') as false_parse, count(*) filter (y_pred is not null and is_fallback) as fallback,
+    count(*) filter (y_pred is null) as out_of_vocabulary from pv group by all) q on m.view = q.view and m.run_id = q.run_id""",
+       PARSED_VIEWS, {**_RUN_TEXT, **confusion_sql("judged", "run_id"), **per_class_sql("run_id")})
+def _(spark, sf):
+    outs = V.outputs(spark, sf).withColumn("run_id", F.col("sample_id") % 9)
+    return rounded(text_eval.summary(outs, vocab_with_failure(spark, sf), keys=["run_id"]))

@@ -90,6 +90,23 @@ def _(spark, sf):
     return L.concat(*[df.select(F.lit(r).alias("regime"), "sample_id", "label", "is_fallback") for r, df in parts])
 
 
+@query("tx6_resolve_by_regime", """
+select o.sample_id, case o.sample_id % 4 when 0 then 'none' when 1 then 'pure' when 2 then 'context' else 'mcq' end as regime,
+  case o.sample_id % 4 when 0 then p.label when 1 then z.label
+    when 2 then coalesce((select arg_min(label, list_pos) from classes c where contains(o.output, c.label)), 'false_parse')
+    else case o.sample_id % 5 when 4 then 'false_parse' else opts[o.sample_id % 5 + 1] end end as label,
+  o.sample_id % 4 = 0 and p.is_fallback as is_fallback
+from outputs o join parsed p on o.sample_id = p.sample_id join zero_shot z on o.sample_id = z.sample_id
+join choices h on o.sample_id = h.sample_id""", ("outputs", "labelled"), {**PARSED, **ZERO_SHOT, **CHOICES})
+def _(spark, sf):
+    vocab = V.classes(spark, sf)
+    rows = CH.build_choices(V.samples(spark, sf), vocab)
+    regime = F.element_at(F.array(*[F.lit(x) for x in ("none", "pure", "context", "mcq")]), (F.col("sample_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("regime") == "mcq", V.choice_text()).otherwise(V.output_text())
+    rows = rows.withColumn("regime", regime).withColumn("output", text)
+    return CH.resolve_by_regime(rows, classes=vocab).select("sample_id", "regime", "label", "is_fallback")
+
+
 @query("tx7_parse_outcome", """
 select sample_id, label, y_pred::int as y_pred, case when label = 'false_parse' then 'false_parse'
   when y_pred is null then 'out_of_vocabulary' when is_fallback then 'fallback' else 'ok' end as outcome from coded""",

@@ -122,6 +122,28 @@ def resolve_prediction(df: DataFrame, regime: str | None, output: str = "output"
     return df.withColumn("_p", parser(output)).select("*", "_p.label", "_p.is_fallback").drop("_p")
 
 
+def resolve_by_regime(df: DataFrame, regime: str = "regime", output: str = "output",
+                      classes: DataFrame | Dimension | None = None, options: str = "options") -> DataFrame:
+    """Like ``resolve_prediction``, with the regime in a column, so that runs of several regimes go in one pass."""
+    r = F.col(regime)
+    table = bounded(classes) if classes is not None else None
+    labels = label_list(table, "list_pos") if table is not None else None
+    if table is not None and (labels is None or len(labels) > MAX_BRANCHES):
+        # A long class list is matched by join, so those rows take their own path.
+        others = resolve_by_regime(df.where(~r.eqNullSafe("context")), regime, output, None, options)
+        return others.unionByName(resolve_prediction(df.where(r == "context"), "context", output, table).select(others.columns))
+
+    def plain(label: Column) -> Column:
+        return F.struct(label.alias("label"), F.lit(False).alias("is_fallback"))
+
+    chosen = F.when(r == "pure", parse_zero_shot(output))
+    if labels is not None:
+        chosen = chosen.when(r == "context", plain(first_contained(output, labels)))
+    if options in df.columns:
+        chosen = chosen.when(r == "mcq", plain(decode_choice(output, options)))
+    return df.withColumn("_p", chosen.otherwise(parse_output(output))).select("*", "_p.label", "_p.is_fallback").drop("_p")
+
+
 def with_outcome(df: DataFrame, vocab: DataFrame | Dimension, name: str = "outcome") -> DataFrame:
     """Add ``y_pred`` (null outside the vocabulary) and the outcome of each row.
 

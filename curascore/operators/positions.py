@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curascore.operators.lookup import bounded, lookup_join
+from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.session import scratch_path
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within the partition in its low 33 bits
@@ -68,32 +68,28 @@ def split_positions(df: DataFrame, split: str = "split", pos: str = "pos") -> Da
     return lookup_join(df, starts, split).withColumn(pos, F.col(pos) - F.col("_first")).select(*df.columns)
 
 
-def assign_blocks(df: DataFrame, index: DataFrame, split: str = "split", pos: str = "pos") -> DataFrame:
+def assign_blocks(df: DataFrame, index: DataFrame | Dimension, split: str = "split", pos: str = "pos",
+                  width: int | None = None) -> DataFrame:
     """Tag each row with the block of its split whose [start_pos, end_pos) holds its position.
 
-    A proven small index is broadcast and joined on the split with the range as residual; otherwise the range
-    becomes an equi-join on position buckets.
+    The range join is an equi-join on position buckets with the range as residual: each block is listed under
+    every bucket it touches. With buckets as wide as the mean block (the default) that is about twice the index,
+    and a row meets one or two candidates. The index is broadcast when proven small; otherwise rows shuffle by
+    (split, bucket), which holds at most ``width`` of them since positions are unique in a split.
     """
     table = bounded(index)
-    if table.is_small:
-        idx = F.broadcast(table.frame.withColumnRenamed(split, "_split"))
-        hit = (F.col(split) == F.col("_split")) & (F.col(pos) >= F.col("start_pos")) & (F.col(pos) < F.col("end_pos"))
-        return df.join(idx, hit, "inner").drop("_split")
-    return _assign_by_bucket(df, table.frame, split, pos)
-
-
-def _assign_by_bucket(df: DataFrame, index: DataFrame, split: str, pos: str, width: int = 1 << 20) -> DataFrame:
-    """Range join as an equi-join: each block is listed under every position bucket it touches."""
-    blocks = index.withColumnRenamed(split, "_split").withColumn(
+    if width is None:
+        span = table.frame.agg(F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean")).first()["mean"]
+        width = max(1, int(span or 1))
+    blocks = table.frame.withColumnRenamed(split, "_split").withColumn(
         "_bucket",
         F.explode(F.sequence(F.expr(f"start_pos div {width}"), F.expr(f"greatest(start_pos, end_pos - 1) div {width}"))),
     )
-    rows = df.withColumn("_b", F.expr(f"`{pos}` div {width}"))
     hit = (
-        (F.col(split) == F.col("_split")) & (F.col("_b") == F.col("_bucket"))
+        (F.col(split) == F.col("_split")) & (F.expr(f"`{pos}` div {width}") == F.col("_bucket"))
         & (F.col(pos) >= F.col("start_pos")) & (F.col(pos) < F.col("end_pos"))
     )
-    return rows.join(blocks, hit, "inner").drop("_split", "_b", "_bucket")
+    return df.join(F.broadcast(blocks) if table.is_small else blocks, hit, "inner").drop("_split", "_bucket")
 
 
 def assign_batches(df: DataFrame, size: int, pos: str = "pos", name: str = "batch") -> DataFrame:

@@ -9,7 +9,7 @@ from curascore.functions.text import escape_output
 from curascore.operators.choices import resolve_prediction, with_outcome
 from curascore.operators.curation import first_n
 from curascore.operators.labels import encode_labels
-from curascore.operators.lookup import Dimension, bounded
+from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.operators.metrics import (
     combine_views, confusion_long, macro_metrics, parse_quality, per_class_counts, per_class_metrics,
 )
@@ -24,29 +24,30 @@ def judge(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None =
     return encode_labels(rows, table, "crop_disease_label").withColumnRenamed("class_id", "y_true")
 
 
-def condense(judged: DataFrame) -> Dimension:
-    """Rows per (source, y_true, y_pred, is_false_parse, is_fallback): all that the metrics need.
+def condense(judged: DataFrame, keys: list[str] | None = None) -> Dimension:
+    """Rows per (keys, source, y_true, y_pred, is_false_parse, is_fallback): all that the metrics need.
 
     Parsing is the costly step, so its result is counted once; the counts depend on the classes, not the rows.
     """
     return bounded(judged.groupBy(
-        "source", "y_true", "y_pred", (F.col("label") == FALSE_PARSE).alias("is_false_parse"), "is_fallback"
+        *(keys or []), "source", "y_true", "y_pred", (F.col("label") == FALSE_PARSE).alias("is_false_parse"), "is_fallback"
     ).agg(F.count(F.lit(1)).alias("n")), max_rows=1_000_000)
 
 
-def metrics_of(counts: DataFrame) -> DataFrame:
-    return per_class_metrics(per_class_counts(confusion_long(counts, weight="n")))
+def metrics_of(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return per_class_metrics(per_class_counts(confusion_long(counts, keys, weight="n"), keys))
 
 
-def summary_of(counts: DataFrame) -> DataFrame:
-    quality = parse_quality(counts, weight="n").select("view", "success_rate", "false_parse", "fallback", "out_of_vocabulary")
-    return macro_metrics(metrics_of(counts)).join(F.broadcast(quality), "view")  # one row per view
+def summary_of(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    on = [*(keys or []), "view"]
+    quality = parse_quality(counts, keys, weight="n").select(*on, "success_rate", "false_parse", "fallback", "out_of_vocabulary")
+    return lookup_join(macro_metrics(metrics_of(counts, keys), keys), quality, on)
 
 
 def summary(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None = None,
-            classes: DataFrame | Dimension | None = None) -> DataFrame:
-    """One row per view: macro metrics next to the parse counts."""
-    return summary_of(condense(judge(outputs, vocab, regime, classes)).frame)
+            classes: DataFrame | Dimension | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One row per (keys, view): macro metrics next to the parse counts; ``keys`` keeps runs apart in one pass."""
+    return summary_of(condense(judge(outputs, vocab, regime, classes), keys).frame, keys)
 
 
 def report_tables(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str | None = None,
@@ -57,6 +58,11 @@ def report_tables(outputs: DataFrame, vocab: DataFrame | Dimension, regime: str
     return {
         "summary": summary_of(counts),
         "per_class": combine_views(metrics_of(counts)),
-        "failed_outputs": judged.where(F.col("label") == FALSE_PARSE).select("sample_id", escape_output("output").alias("failed_output")),
+        "failed_outputs": failed_outputs(judged),
         "parse_samples": first_n(judged, sample_rows, EVALUATION_SEED).select("pos", "y_true", escape_output("output").alias("parsed_output")),
     }
+
+
+def failed_outputs(judged: DataFrame) -> DataFrame:
+    """Every output that gave no label, as one quoted line."""
+    return judged.where(F.col("label") == FALSE_PARSE).select("sample_id", escape_output("output").alias("failed_output"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curascore.functions.text import compose_label
@@ -84,8 +84,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_predictions(labelled(spark, sf_dir))
 
 
-def shape_outputs(df: DataFrame) -> DataFrame:
-    """Model outputs, one branch of the parsers per residue of the id."""
+def output_text() -> Column:
+    """Model output of a sample, one branch of the parsers per residue of the id."""
     crop, disease, nl = F.col("crop"), F.col("disease"), F.lit("\n")
     cases = [
         F.concat(F.lit("Disease: "), disease, nl, F.lit("Crop: "), F.upper(crop)),
@@ -100,17 +100,24 @@ def shape_outputs(df: DataFrame) -> DataFrame:
     out = F.concat(F.lit("Class: "), F.upper(crop), nl, F.lit("Disease: "), disease)
     for residue, text in enumerate(cases):
         out = F.when(F.col("sample_id") % 11 == residue, text).otherwise(out)
-    return df.select("sample_id", "source", "crop_disease_label", out.alias("output"))
+    return out
+
+
+def shape_outputs(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", "source", "crop_disease_label", output_text().alias("output"))
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_outputs(samples(spark, sf_dir))
 
 
-def choice_outputs(df: DataFrame) -> DataFrame:
+def choice_text() -> Column:
     """Letters with whitespace in lower case; E is not a valid key."""
-    letter = F.lower(F.char(F.lit(65) + F.col("sample_id") % 5))
-    return df.withColumn("output", F.concat(F.lit(" "), letter, F.lit("\n")))
+    return F.concat(F.lit(" "), F.lower(F.char(F.lit(65) + F.col("sample_id") % 5)), F.lit("\n"))
+
+
+def choice_outputs(df: DataFrame) -> DataFrame:
+    return df.withColumn("output", choice_text())
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ SAMPLE_SCHEMA = T.StructType([
     T.StructField("numeric_label", T.IntegerType()),
     T.StructField("split", T.StringType()),
 ])
+# A curated dataset also says by which case of the balance rule each row was kept.
+CURATED_SCHEMA = T.StructType([*SAMPLE_SCHEMA.fields[:-1], T.StructField("balance_case", T.StringType()), SAMPLE_SCHEMA["split"]])
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("True Label", T.IntegerType()),
     T.StructField("True Label (Text)", T.StringType()),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curascore.operators import curation as C
 from curascore.operators import labels as L
 from curascore.operators import positions as P
+from curascore.operators.lookup import Dimension
 from curascore.plans.curate import curate
 from curascore.settings import SPLIT_TARGETS, class_pairs
 
@@ -74,8 +75,9 @@ def test_positions_and_blocks(spark):
     blocks = index.select("split", F.col("crop").alias("block"), "start_pos", "end_pos")
     tagged = P.assign_blocks(placed, blocks)
     assert tagged.where("block <> crop").count() == 0 and tagged.count() == len(rows)
-    by_bucket = P._assign_by_bucket(placed, blocks, "split", "pos", width=64)
-    assert by_bucket.where("block <> crop").count() == 0 and by_bucket.count() == len(rows)
+    for width, index_of in ((64, blocks), (10**9, blocks), (777, Dimension(blocks, None))):
+        again = P.assign_blocks(placed, index_of, width=width)
+        assert again.where("block <> crop").count() == 0 and again.count() == len(rows)
     # ends taken as exclusive although they name the last row: each block loses one
     lossy = P.build_block_index(placed, end_inclusive=True).select("split", F.col("crop").alias("block"), "start_pos", "end_pos")
     assert P.assign_blocks(placed, lossy).count() == len(rows) - 4
