@@ -25,6 +25,12 @@ def seeded_int(seed: int | str, row_id: Column | str, n: int) -> Column:
     return F.pmod(hex_word(seed_key(seed, row_id), 0), F.lit(n).cast("bigint"))
 
 
+def key_below(share: Column) -> Column:
+    """Text bound below which about ``share`` of all ``seed_key`` values lie; above every key from a share of 1 on."""
+    digits = F.lower(F.lpad(F.hex(F.floor(F.greatest(share, F.lit(0.0)) * float(16**13)).cast("bigint")), 13, "0"))
+    return F.when(share >= 1, F.lit("g")).otherwise(digits)
+
+
 def seeded_unit(seed: int | str, row_id: Column | str) -> Column:
     """Uniform double in [0, 1) with 52 random bits."""
     digest = seed_key(seed, row_id)

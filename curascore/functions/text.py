@@ -163,11 +163,23 @@ def decode_choice(output: Column | str, options: Column | str) -> Column:
 def first_contained(output: Column | str, labels: Sequence[str]) -> Column:
     """First label in list order that occurs in the output, else ``false_parse``.
 
-    One branch per label, so the search is compiled and stops at the first hit.
+    One search over the text: a lookahead gives, at every place where some label starts, the first such label in
+    list order; few places pass the test on the leading characters. The lowest list position of these wins.
     """
     out = col_of(output)
-    hits = [F.when(F.contains(out, F.lit(label)), F.lit(label)) for label in labels]
-    return F.coalesce(*hits, F.lit(FALSE_PARSE))
+    lead = min(4, min(len(label) for label in labels))
+    gate = "|".join(re.escape(x) for x in dict.fromkeys(label[:lead] for label in labels))
+    pattern = f"(?={gate})(?=({'|'.join(re.escape(label) for label in labels)}))" if lead else ""
+    if not pattern:  # an empty label occurs everywhere
+        hits = [F.when(F.contains(out, F.lit(label)), F.lit(label)) for label in labels]
+        return F.coalesce(*hits, F.lit(FALSE_PARSE))
+    listed = F.array(*[F.lit(label) for label in labels])
+    return let(
+        F.regexp_extract_all(out, F.lit(pattern), F.lit(1)),
+        lambda hits: F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+        .when(F.size(hits) > 1, F.get(listed, (F.array_min(F.transform(hits, lambda h: F.array_position(listed, h))) - 1).cast("int")))
+        .otherwise(F.lit(FALSE_PARSE)),
+    )
 
 
 # ---------------------------------------------------------------- report text

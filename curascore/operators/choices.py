@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curascore.functions.hashing import col_of, hex_word, seed_key
-from curascore.functions.lets import let
 from curascore.functions.text import decode_choice, first_contained, parse_output, parse_zero_shot
 from curascore.operators.labels import encode_labels, label_list
 from curascore.operators.lookup import Dimension, bounded, lookup_join
@@ -15,44 +14,34 @@ from curascore.settings import CHOICE_KEYS, EVALUATION_SEED, FALSE_PARSE
 MAX_BRANCHES = 512  # labels searched by one compiled expression
 
 
-def _choice_slots(position: Column, n_labels: int | Column, seed: int, row_id: str) -> Column:
-    """array of 4 label positions (0-based): three distinct distractors and the true one, in shuffled order.
+def _with_slots(df: DataFrame, position: str, n_labels: int, seed: int, row_id: str) -> tuple[DataFrame, list[Column]]:
+    """(frame, label positions of the four options): three distinct distractors and the true label.
 
     One md5 gives four words: three draw distractors without replacement from the other labels, the last one
-    picks the slot of the true label. Distractors keep their draw order, which is random already.
+    picks the slot of the true label. Distractors keep their draw order, which is random already. The steps are
+    plain columns, so that they compile and each runs once.
     """
-    digest = seed_key(seed, row_id)
-    others = F.lit(n_labels - 1).cast("bigint")
-
-    def slots(d: Column) -> Column:
-        first = F.pmod(hex_word(d, 0), others)
-        second = F.pmod(hex_word(d, 1), others - 1)
-        third = F.pmod(hex_word(d, 2), others - 2)
-        return let(
-            F.struct(first.alias("a"), F.when(second >= first, second + 1).otherwise(second).alias("b"), third.alias("c")),
-            lambda t: let(
-                F.struct(
-                    t["a"].alias("a"), t["b"].alias("b"),
-                    # Skip both drawn positions, the lower one first.
-                    let(
-                        F.when(t["c"] >= F.least(t["a"], t["b"]), t["c"] + 1).otherwise(t["c"]),
-                        lambda c: F.when(c >= F.greatest(t["a"], t["b"]), c + 1).otherwise(c),
-                    ).alias("c"),
-                ),
-                lambda u: let(
-                    # Positions among the other labels -> positions in the whole list.
-                    F.transform(F.array(u["a"], u["b"], u["c"]), lambda x: F.when(x >= position, x + 1).otherwise(x)),
-                    lambda drawn: let(
-                        F.pmod(hex_word(d, 3), F.lit(4)).cast("int"),
-                        lambda k: F.concat(
-                            F.slice(drawn, F.lit(1), k), F.array(position), F.slice(drawn, k + 1, F.lit(3) - k)
-                        ),
-                    ),
-                ),
-            ),
-        )
-
-    return let(digest, slots)
+    others = n_labels - 1
+    word = lambda i: hex_word(F.col("_h"), i)
+    a, b, x, k, p = (F.col(c) for c in ("_a", "_b", "_x", "_k", position))
+    out = (
+        df.withColumn("_h", seed_key(seed, row_id))
+        .withColumns({"_a": word(0) % others, "_b": word(1) % (others - 1), "_x": word(2) % (others - 2), "_k": (word(3) % 4).cast("int")})
+        .withColumn("_b", F.when(b >= a, b + 1).otherwise(b))
+        # Skip both drawn positions, the lower one first.
+        .withColumn("_x", F.when(x >= F.least(a, b), x + 1).otherwise(x))
+        .withColumn("_x", F.when(x >= F.greatest(a, b), x + 1).otherwise(x))
+        # Positions among the other labels -> positions in the whole list.
+        .withColumns({c: F.when(F.col(c) >= p, F.col(c) + 1).otherwise(F.col(c)).cast("int") for c in ("_a", "_b", "_x")})
+        .drop("_h")
+    )
+    slots = [
+        F.when(k == 0, p).otherwise(a),
+        F.when(k == 1, p).when(k < 1, a).otherwise(b),
+        F.when(k == 2, p).when(k < 2, b).otherwise(x),
+        F.when(k == 3, p).otherwise(x),
+    ]
+    return out, slots
 
 
 def build_choices(df: DataFrame, vocab: DataFrame | Dimension, seed: int = EVALUATION_SEED, row_id: str = "sample_id",
@@ -63,20 +52,17 @@ def build_choices(df: DataFrame, vocab: DataFrame | Dimension, seed: int = EVALU
     keys = F.array(*[F.lit(k) for k in CHOICE_KEYS])
     labels = label_list(table)
     if labels is not None:
+        drawn, slots = _with_slots(coded, "_pos", len(labels), seed, row_id)
         names = F.array(*[F.lit(x) for x in labels])
-        picked = F.transform(
-            _choice_slots(F.col("_pos").cast("bigint"), len(labels), seed, row_id),
-            lambda i: F.get(names, i.cast("int")),
-        )
-        return coded.withColumn("options", F.map_from_arrays(keys, picked)).drop("_pos")
+        options = F.map_from_arrays(keys, F.array(*[F.get(names, slot) for slot in slots]))
+        return drawn.select(*df.columns, options.alias("options"))
     # Vocabulary too large to ship: look the four positions up by join and put the options together again.
-    n = table.frame.count()
-    slots = coded.withColumn("_slots", _choice_slots(F.col("_pos").cast("bigint"), n, seed, row_id))
-    long = slots.select(row_id, F.posexplode("_slots").alias("_at", "class_id")).withColumn("class_id", F.col("class_id").cast("int"))
+    drawn, slots = _with_slots(coded, "_pos", table.frame.count(), seed, row_id)
+    long = drawn.select(row_id, F.posexplode(F.array(*slots)).alias("_at", "class_id"))
     named = lookup_join(long, table.frame.select("class_id", "label"), "class_id")
-    options = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_at", "label"))).alias("_o"))
+    options = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_at", "label"))).alias("_o"))  # four per row
     options = options.select(row_id, F.map_from_arrays(keys, F.col("_o.label")).alias("options"))
-    return coded.drop("_pos").join(options, row_id)
+    return coded.drop("_pos").join(options, row_id).select(*df.columns, "options")
 
 
 def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "output", name: str = "label",

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curascore.functions.hashing import salt_of, seed_key
+from curascore.functions.hashing import key_below, salt_of, seed_key
 from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.operators.positions import positions
+from curascore.session import scratch_path
 from curascore.settings import CURATION_SEED, OVER_MARGIN, REVIEW_MARGIN, SPLIT_TARGETS, UNDER_MARGIN
 
 CLASS_KEYS = ["split", "crop", "disease"]
 SALTS = 64
+# Rows ranked beyond the quota: this many standard deviations of a group's candidate count, and a few more.
+MARGIN_SIGMAS = 10
+MARGIN_ROWS = 50
 
 
 def seeded_shuffle(df: DataFrame, seed: int, row_id: str = "sample_id", name: str = "pos") -> DataFrame:
@@ -46,8 +52,51 @@ def top_per_group(df: DataFrame, n: int, keys: list[str], order: list[Column | s
     return cut.withColumn(name, F.row_number().over(outer)).where(F.col(name) <= n)
 
 
+def sample_by_quota(df: DataFrame, quotas: Dimension, keys: list[str], seed: int = CURATION_SEED,
+                    row_id: str = "sample_id") -> DataFrame:
+    """Per group the first ``quota`` rows of the seeded order; ``quotas`` is a proven small (keys, n_rows, quota).
+
+    Keys of the order are uniform, so the wanted rows lie below a share of the hash range that follows from the
+    group sizes. Only rows below that share, with a wide margin, are ranked: a group of any size is cut to about
+    its quota where it is read, without a sort or shuffle of the rest. The candidates are written once; a group
+    left short of its quota (practically never) is ranked in full instead, so the result is exact.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_key", seed_key(seed, row_id))
+    share = (F.col("quota") + MARGIN_SIGMAS * F.sqrt(F.col("quota")) + MARGIN_ROWS) / F.col("n_rows")
+    sized = quotas.frame.where((F.col("quota") > 0) & (F.col("n_rows") > 0)).select(
+        *[F.col(k).alias(f"_q_{k}") for k in keys], "n_rows", "quota", key_below(share).alias("_below"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys])
+    near = keyed.join(F.broadcast(sized), same).where(F.col("_key") < F.col("_below"))
+    path = scratch_path(spark, "candidates")
+    near = near.select(*df.columns, "_key", F.least("quota", "n_rows").alias("_quota"))
+    near.write.parquet(path)
+    stored = spark.read.schema(near.schema).parquet(path)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_key", row_id))
+        return rows.withColumn("_rn", rank).where(F.col("_rn") <= F.col("_quota")).select(*df.columns)
+
+    found = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_found"))
+    short = (
+        sized.join(F.broadcast(found), same, "left")
+        .where(F.coalesce("_found", F.lit(0)) < F.least("quota", "n_rows"))
+        .select(*[f"_q_{k}" for k in keys], F.least("quota", "n_rows").alias("_quota"))
+    )
+    missing = bounded(short, max_rows=max(1, quotas.rows.num_rows))
+    if not missing.rows.num_rows:
+        return ranked(stored)
+    whole = stored.join(F.broadcast(missing.frame.drop("_quota")), same, "left_anti")
+    redo = keyed.join(F.broadcast(missing.frame), same).select(*df.columns, "_key", "_quota")
+    most = missing.frame.agg(F.max("_quota").alias("m")).first()["m"]
+    return ranked(whole).unionByName(ranked(top_per_group(redo, most, keys, ["_key", row_id], row_id).drop("rn")))
+
+
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = CURATION_SEED, row_id: str = "sample_id") -> DataFrame:
     """``n`` random rows per group; a smaller group is kept whole."""
+    sizes = bounded(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(n).cast("bigint").alias("quota")))
+    if sizes.is_small:
+        return sample_by_quota(df, sizes, keys, seed, row_id)
     keyed = df.withColumn("_key", seed_key(seed, row_id))
     return top_per_group(keyed, n, keys, ["_key", row_id], row_id).drop("_key", "rn")
 
@@ -127,20 +176,28 @@ def balanced_downsample(df: DataFrame, targets: dict[str, int] = SPLIT_TARGETS,
                         cases: DataFrame | Dimension | None = None) -> DataFrame:
     """The whole curation policy; result keeps the input columns and adds ``balance_case``.
 
-    Every quota is below ``max(target) + over`` by the rule itself (a group is kept whole only below that), so
-    the ranking can be cut at that constant before the per-group quota is looked up.
+    One pass counts the groups, a second one keeps candidates by hash. Every quota is below ``max(target) + over``
+    by the rule itself (a group is kept whole only below that), so what is ranked depends on the classes only.
     """
     table = bounded(cases if cases is not None else balance_case(source_balance(df), targets, under, over))
-    quotas = Dimension(table.frame.select(*CLASS_KEYS, "balance_case", "quota_lab", "quota_field"), table.rows)
-    ceiling = max(targets.values()) + over
-    keyed = df.where(F.col("split").isin(*targets)).withColumn("_key", seed_key(seed, row_id))
-    ranked = top_per_group(keyed, ceiling, [*CLASS_KEYS, "source"], ["_key", row_id], row_id)
-    quota = F.when(F.col("source") == "lab", F.col("quota_lab")).when(F.col("source") == "field", F.col("quota_field"))
-    return (
-        lookup_join(ranked, quotas, CLASS_KEYS)
-        .where(F.col("rn") <= quota)
-        .select(*df.columns, "balance_case")
+    inside = df.where(F.col("split").isin(*targets))
+    keys = [*CLASS_KEYS, "source"]
+    per_source = F.array(
+        F.struct(F.lit("lab").alias("source"), F.col("n_lab").alias("n_rows"), F.col("quota_lab").alias("quota")),
+        F.struct(F.lit("field").alias("source"), F.col("n_field").alias("n_rows"), F.col("quota_field").alias("quota")),
     )
+    if table.is_small:
+        quotas = bounded(table.frame.select(*CLASS_KEYS, F.inline(per_source)))
+        if quotas.is_small:
+            kept = sample_by_quota(inside, quotas, keys, seed, row_id)
+            named = Dimension(table.frame.select(*CLASS_KEYS, "balance_case"), table.rows)
+            return lookup_join(kept, named, CLASS_KEYS).select(*df.columns, "balance_case")
+    # Too many classes to ship: rank up to the largest possible quota, then look the quota of each group up.
+    ranked = top_per_group(
+        inside.withColumn("_key", seed_key(seed, row_id)), max(targets.values()) + over, keys, ["_key", row_id], row_id)
+    quota = F.when(F.col("source") == "lab", F.col("quota_lab")).when(F.col("source") == "field", F.col("quota_field"))
+    slim = Dimension(table.frame.select(*CLASS_KEYS, "balance_case", "quota_lab", "quota_field"), None)
+    return lookup_join(ranked, slim, CLASS_KEYS).where(F.col("rn") <= quota).select(*df.columns, "balance_case")
 
 
 def class_counts(df: DataFrame, order: Column | str, class_id: str = "numeric_label",

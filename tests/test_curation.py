@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curascore.operators import curation as C
 from curascore.operators import labels as L
+from curascore.operators import lookup
 from curascore.operators import positions as P
 from curascore.operators.lookup import Dimension
 from curascore.plans.curate import curate
@@ -64,6 +65,29 @@ def test_downsample_keeps_quotas(spark):
     assert [r.crop_disease_label for r in labelled] == ["few_rust", "hot_rust", "low_rust", "one_rust"]
 
 
+def test_short_groups_are_ranked_in_full(spark, monkeypatch):
+    df = sample_frame(spark)
+    want = brute(df.collect(), 25), {r.sample_id for r in C.balanced_downsample(df).collect()}
+    # A margin far too low leaves most groups short of their quota.
+    monkeypatch.setattr(C, "MARGIN_SIGMAS", -2)
+    monkeypatch.setattr(C, "MARGIN_ROWS", -5)
+    assert ({r.sample_id for r in C.sample_n(df, 25, ["crop", "source"]).collect()},
+            {r.sample_id for r in C.balanced_downsample(df).collect()}) == want
+
+
+def test_many_groups_are_ranked_by_salted_rounds(spark, monkeypatch):
+    df = sample_frame(spark)
+    want = brute(df.collect(), 25), {r.sample_id for r in C.balanced_downsample(df).collect()}
+    monkeypatch.setattr(lookup.bounded, "__defaults__", (2, 1 << 20))
+    assert ({r.sample_id for r in C.sample_n(df, 25, ["crop", "source"]).collect()},
+            {r.sample_id for r in C.balanced_downsample(df).collect()}) == want
+
+
+def test_null_keys_form_a_group(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(40)], "sample_id long, crop string")
+    assert Counter(r.crop for r in C.sample_n(df, 7, ["crop"]).collect()) == {None: 7, "a": 7}
+
+
 def test_positions_and_blocks(spark):
     df = sample_frame(spark).withColumn("crop_disease_label", L.compose_label())
     placed = P.positions(df, ["split", "crop_disease_label", "sample_id"])
