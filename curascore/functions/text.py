@@ -30,10 +30,13 @@ OUTPUT_PATTERNS = (
 )
 CROP_LINE = rf"(?i)crop{NON_WORD}*+([a-z]++(?: [a-z]++)*+)"
 DISEASE_LINE = rf"(?i)disease{NON_WORD}*+([a-z]++(?:_[a-z]++)*+)"
-ZERO_SHOT_HEAD = (
+# The disease ends before the first bracket if the text closes with one, else it is all of the rest; written as two
+# branches, so that a text with many brackets is still read once.
+ZERO_SHOT = (
     rf"(?isu)^{SPACE}*(?:Class|Crop):{SPACE}*\*?([\p{{L}}\p{{N}}_\t-\r\x1c-\x1f\x85\p{{Z}} -]+?)\*?{SPACE}*[\r\n]+"
-    rf"Disease:{SPACE}*\*?(.*?)(?:{SPACE}*\(.*\))?\*?{SPACE}*\z"
+    rf"Disease:{SPACE}*\*?(?:([^(]*+)\(.*\)\*?{SPACE}*\z|(.*)\z)"
 )
+CLOSING_MARK = rf"\*?{SPACE}*\z"
 
 
 def strip(c: Column | str) -> Column:
@@ -118,20 +121,20 @@ def parse_output(c: Column | str) -> Column:
 
     The fallback flag is also set when the scan fails, as failures count as both.
     """
-    out = col_of(c)
     return let(
-        _first_pattern(out, OUTPUT_PATTERNS),
-        lambda direct: F.struct(
-            F.when(direct.isNotNull(), direct).when(out.isNotNull(), parse_key_values(out)).alias("label"),
-            (direct.isNull() & out.isNotNull()).alias("is_fallback"),
+        col_of(c),
+        lambda out: let(
+            _first_pattern(out, OUTPUT_PATTERNS),
+            lambda direct: F.struct(
+                F.when(direct.isNotNull(), direct).when(out.isNotNull(), parse_key_values(out)).alias("label"),
+                (direct.isNull() & out.isNotNull()).alias("is_fallback"),
+            ),
         ),
     )
 
 
 def parse_zero_shot(c: Column | str) -> Column:
     """struct(label, is_fallback) for the zero-shot answer form; the flag is never set."""
-    out = col_of(c)
-
     def tidy(text: Column) -> Column:
         return F.replace(F.lower(text), F.lit(" "), F.lit("_"))
 
@@ -141,15 +144,19 @@ def parse_zero_shot(c: Column | str) -> Column:
         ).otherwise(disease)
         return F.concat(tidy(crop), F.lit("_"), tidy(bare))
 
+    def disease_part(out: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(out, ZERO_SHOT, 3), CLOSING_MARK, "")
+        return strip(F.concat(F.regexp_extract(out, ZERO_SHOT, 2), rest))  # one of the two is empty
+
     found = let(
-        F.regexp_extract(out, ZERO_SHOT_HEAD, 1),
-        lambda raw: F.when(
-            raw != "",
-            let(
-                F.struct(strip(raw).alias("crop"), strip(F.regexp_extract(out, ZERO_SHOT_HEAD, 2)).alias("disease")),
-                lambda p: label(p["crop"], p["disease"]),
-            ),
-        ).otherwise(F.lit(FALSE_PARSE)),
+        col_of(c),
+        lambda out: let(
+            F.regexp_extract(out, ZERO_SHOT, 1),
+            lambda raw: F.when(
+                raw != "",
+                let(F.struct(strip(raw).alias("crop"), disease_part(out).alias("disease")), lambda p: label(p["crop"], p["disease"])),
+            ).otherwise(F.lit(FALSE_PARSE)),
+        ),
     )
     return F.struct(found.alias("label"), F.lit(False).alias("is_fallback"))
 
@@ -185,7 +192,18 @@ def first_contained(output: Column | str, labels: Sequence[str]) -> Column:
 # ---------------------------------------------------------------- report text
 
 _ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-_RARE = [chr(i) for i in [*range(0, 9), 11, 12, *range(14, 32), *range(127, 161), 173]]
+UNPRINTABLE = r"[\p{Z}\p{C}&&[^ ]]"
+
+
+def _code_escape(char: Column) -> Column:
+    """``\\xNN``, ``\\uNNNN`` or ``\\UNNNNNNNN`` of one character."""
+    code = F.ascii(char)
+    digits = F.lower(F.hex(code.cast("bigint")))
+    return (
+        F.when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+        .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
+        .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
+    )
 
 
 def escape_output(c: Column | str) -> Column:
@@ -194,10 +212,10 @@ def escape_output(c: Column | str) -> Column:
     body = out
     for char, shown in _ESCAPES:
         body = F.replace(body, F.lit(char), F.lit(shown))
-    rare = body
-    for char in _RARE:
-        rare = F.replace(rare, F.lit(char), F.lit(f"\\x{ord(char):02x}"))
-    body = F.when(F.rlike(out, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]")), rare).otherwise(body)
+    # Only texts with other unprintable characters are taken apart.
+    chars = F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0))
+    coded = F.transform(chars, lambda x: F.when(F.rlike(x, F.lit(UNPRINTABLE)), _code_escape(x)).otherwise(x))
+    body = F.when(F.rlike(body, F.lit(UNPRINTABLE)), F.array_join(coded, "")).otherwise(body)
     single, double = F.contains(out, F.lit("'")), F.contains(out, F.lit('"'))
     return (
         F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))

@@ -13,9 +13,8 @@ from curascore.functions.lets import let
 from curascore.settings import IGNORE_ID, MAX_TRAIN_LENGTH
 
 
-def anchor_position(ids: Column | str, anchor: Sequence[int]) -> Column:
-    """0-based index at which the anchor first occurs; null when it does not."""
-    v, n = col_of(ids), len(anchor)
+def _first_start(v: Column, anchor: Sequence[int]) -> Column:
+    n = len(anchor)
 
     def here(i: Column) -> Column:
         return reduce(lambda a, b: a & b, [F.get(v, i + k) == a for k, a in enumerate(anchor)])
@@ -24,13 +23,20 @@ def anchor_position(ids: Column | str, anchor: Sequence[int]) -> Column:
     return F.get(F.filter(starts, here), F.lit(0))
 
 
+def anchor_position(ids: Column | str, anchor: Sequence[int]) -> Column:
+    """0-based index at which the anchor first occurs; null when it does not."""
+    return let(col_of(ids), lambda v: _first_start(v, anchor))
+
+
 def mask_before_anchor(ids: Column | str, anchor: Sequence[int], ignore: int = IGNORE_ID) -> Column:
     """Ids before the anchor become ``ignore``; null (a reject) when the anchor is missing."""
-    v = col_of(ids)
     return let(
-        anchor_position(v, anchor),
-        lambda start: F.when(
-            start.isNotNull(), F.transform(v, lambda x, i: F.when(i < start, F.lit(ignore)).otherwise(x))
+        col_of(ids),
+        lambda v: let(
+            _first_start(v, anchor),
+            lambda start: F.when(
+                start.isNotNull(), F.transform(v, lambda x, i: F.when(i < start, F.lit(ignore)).otherwise(x))
+            ),
         ),
     )
 

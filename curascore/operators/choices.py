@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curascore.functions.hashing import col_of, hex_word, seed_key
+from curascore.functions.lets import let
 from curascore.functions.text import decode_choice, first_contained, parse_output, parse_zero_shot
 from curascore.operators.labels import encode_labels, label_list
 from curascore.operators.lookup import Dimension, bounded, lookup_join
@@ -82,11 +83,12 @@ def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "
 def _context_match_by_join(df: DataFrame, classes: DataFrame, output: str, name: str, row_id: str) -> DataFrame:
     width = min(12, classes.agg(F.min(F.length("label"))).first()[0])
     heads = classes.select("label", "list_pos", F.substring("label", 1, width).alias("_gram"))
-    starts = F.when(F.length(output) >= width, F.sequence(F.lit(1), F.length(output) - (width - 1)))
-    grams = df.select(
-        row_id, output,
-        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(output), i, F.lit(width))))).alias("_gram"),
-    )
+
+    def substrings(text: Column) -> Column:
+        starts = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - (width - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width))))
+
+    grams = df.select(row_id, output, F.explode(let(F.col(output), substrings)).alias("_gram"))
     hits = lookup_join(grams, heads, "_gram").where(F.contains(output, F.col("label")))
     best = hits.groupBy(row_id).agg(F.min_by("label", "list_pos").alias(name))
     return df.join(best, row_id, "left").withColumn(name, F.coalesce(name, F.lit(FALSE_PARSE)))

@@ -48,6 +48,13 @@ ZERO_SHOT_CASES = [
     ("Answer: Apple\nDisease: rust", "false_parse"),
     ("Class: Apple, Disease: rust", "false_parse"),
     ("Class: Apple\nDisease:", "apple_"),
+    ("Class: Apple\nDisease: rust (a) and (b)", "apple_rust"),
+    ("Class: Apple\nDisease: rust (a) more", "apple_rust_(a)_more"),
+    ("Class: Apple\nDisease: rust **", "apple_rust_*"),
+    ("Class: Apple\nDisease: (a)", "apple_"),
+    ("Class: Apple\nDisease: rust ( *", "apple_rust_("),
+    ("Class: Apple\nDisease: rust ) ( ) * \n", "apple_rust_)_(_)"),
+    ("Class: Apple\nDisease: rust ) ( )* \n", "apple_rust_)"),
     ("", "false_parse"),
 ]
 
@@ -79,6 +86,16 @@ def test_long_lines_are_parsed_whole(spark):
         f"{words}_rust", f"{words}_rust", "apple_scab", "false_parse", f"a_{words}", "false_parse"]
 
 
+def test_long_zero_shot_answers_are_parsed_whole(spark):
+    words = " ".join(["word"] * 30_000)
+    brackets = "( x " * 30_000
+    texts = [f"Class: Apple\nDisease: {words} (so)", f"Class: {words}\nDisease: rust", f"Class: Apple\nDisease: {brackets}", f"Class: {words}"]
+    rows = frame(spark, texts).select("sample_id", TX.parse_zero_shot("output").alias("p")).orderBy("sample_id").collect()
+    under = words.replace(" ", "_")
+    assert [r.p.label for r in rows] == [
+        f"apple_{under}", f"{under}_rust", "apple_" + brackets.strip().replace(" ", "_"), "false_parse"]
+
+
 def test_choice_and_context(spark):
     options = F.create_map(F.lit("A"), F.lit("x"), F.lit("B"), F.lit("y"))
     rows = frame(spark, ["a", " B\n", "A.", "C", "\t b"]).withColumn("options", options)
@@ -100,7 +117,8 @@ def test_outcomes(spark):
 
 
 @pytest.mark.parametrize("text", [
-    "plain", "two\nlines", "it's", 'say "x"', "it's \"both\"", "tab\t", "back\\slash", "\r\n", "bell\x07", "nbsp\xa0", "soft\xad", "del\x7f", "\x85"])
+    "plain", "two\nlines", "it's", 'say "x"', "it's \"both\"", "tab\t", "back\\slash", "\r\n", "bell\x07", "nbsp\xa0", "soft\xad", "del\x7f", "\x85",
+    "line\u2028sep", "zero\u200bwidth", "tag\U000e0001", "smile 😀 é"])
 def test_escape_is_python_repr(spark, text):
     assert frame(spark, [text]).select(TX.escape_output("output").alias("e")).first().e == repr(text)
 
