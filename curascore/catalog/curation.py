@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from curascore.catalog.base import query
 from curascore.operators import curation as C
 from curascore.operators import positions as P

@@ -11,7 +11,6 @@ from curascore.catalog.metrics import WIDE, _QUALITY, rounded
 from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PROTOTYPES
 from curascore.catalog.text import quoted
 from curascore.catalog.vectors import _head
-from curascore.functions.text import escape_output
 from curascore.operators import labels as L
 from curascore.operators import metrics as M
 from curascore.plans import curate, text_eval

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
-from curascore.catalog.sqltext import PARSED, PARSED_VIEWS
-from curascore.functions.text import cast_label, compose_label, parse_output
+from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES
+from curascore.functions.text import cast_label, compose_label, parse_output, parse_run_name
 from curascore.operators import labels as L
 from curascore.operators import positions as P
 from curascore.operators.choices import context_match
 from curascore.operators.lookup import Dimension, bounded
 from curascore.operators.metrics import combine_views, confusion_long, per_class_counts, per_class_metrics
 from curascore.operators.runs import grid, resolve_experiment
-from curascore.functions.text import parse_run_name
 from curascore.operators.scoring import class_prototypes, score_pairs
 from curascore.plans import views as V
 from curascore.settings import FALSE_PARSE, GRID_BATCH_SIZES, GRID_LEARNING_RATES
@@ -176,9 +175,6 @@ def _(spark, sf):
     return L.densify_classes(counts, 65)
 
 
-from curascore.catalog.sqltext import PROTOTYPES, SCORES  # noqa: E402
-
-
 @query("j7_score_pairs", "select sample_id, class_id, round(score, 6) as score from scores", ("features",), {**PROTOTYPES, **SCORES})
 def _(spark, sf):
     rows = V.features(spark, sf)
@@ -203,9 +199,6 @@ def _(spark, sf):
     return rows.select("sample_id", F.size("candidates").alias("n_candidates"), F.md5(F.array_join("candidates", ",")).alias("digest"))
 
 
-from curascore.catalog.sqltext import CONFUSION, PER_CLASS  # noqa: E402
-
-
 @query("j10_combine_views", """
 select class_id::int as class_id,
   """ + ",\n  ".join(

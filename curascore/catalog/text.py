@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
 from curascore.catalog.labels import vocab_with_failure
-from curascore.catalog.sqltext import CHOICES, PARSED, PARSED_VIEWS, VOCAB, ZERO_SHOT
+from curascore.catalog.sqltext import CHOICES, PARSED, PARSED_VIEWS, ZERO_SHOT
 from curascore.functions import prompts as PR
 from curascore.functions import text as TX
 from curascore.operators import choices as CH
@@ -70,7 +70,6 @@ def _(spark, sf):
         "sample_id", "crop_disease_label", *[F.col("options")[k].alias(k.lower()) for k in ("A", "B", "C", "D")])
 
 
-_REGIMES = {"r_zs": "select sample_id, label from zero_shot"}
 
 
 @query("tx6_resolve_prediction", """

@@ -5,7 +5,6 @@ import subprocess
 import sys
 
 import pytest
-from pyspark.sql import functions as F
 
 from curascore.functions import prompts as PR
 from curascore.operators import metrics as M
