@@ -27,9 +27,9 @@ from curascore.llm.words import Words, blank_separated, byte_texts, chunks, lowe
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-PART_BYTES = 16_000_000  # bytes of text whose shingles form one part
-FLUSH = 1_500_000  # shingles that a task gathers before it deals them out
-FREQUENT = 64  # classes of one flush that make a shingle frequent
+PART_BYTES = 8_000_000  # bytes of text whose shingles form one part
+FLUSH = 600_000  # shingles that a task gathers before it deals them out
+FREQUENT = 48  # classes of one flush that make a shingle frequent
 FREQUENT_DF = 2**31 - 1
 _EMPTY = np.zeros(0, np.uint64)
 
