@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from curascore.llm import decontaminate, jaccard_join, token_counts  # noqa: F401  (modules register on import)
+from curascore.llm import decontaminate, jaccard_join, mixing, pii, secrets, token_counts  # noqa: F401  (modules register on import)
 from curascore.llm.base import REGISTRY
 
 __all__ = ["REGISTRY"]
