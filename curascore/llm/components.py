@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curascore.llm.base import stored
@@ -17,14 +17,15 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     links = links.where("a <> b")
     edges = stored(links.union(links.select("b", "a")).distinct().toDF("a", "b"), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    labels = (edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     for _ in range(max_rounds):
         near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("root").alias("low"))
         hooked = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        after = stored(hooked.join(jump, "low", "left").select("node", "was", F.least("low", "far").alias("root")), "labels")
-        labels = after.select("node", "root")
-        if after.where("root <> was").isEmpty():
+        after = hooked.join(jump, "low", "left").select("node", "was", F.least("low", "far").alias("root"))
+        moved = Observation()
+        labels = stored(after.observe(moved, F.count_if(F.col("root") != F.col("was")).alias("n")).select("node", "root"), "labels")
+        if not moved.get["n"]:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

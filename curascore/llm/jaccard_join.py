@@ -31,6 +31,8 @@ PART_BYTES = 8_000_000  # bytes of text whose shingles form one part
 FLUSH = 600_000  # shingles that a task gathers before it deals them out
 FREQUENT = 48  # classes of one flush that make a shingle frequent
 FREQUENT_DF = 2**31 - 1
+STAR_ROUNDS, STAR_PIVOTS = 2, 6
+LONG_LIST, BLOCK = 64, 192  # lists above are compared block by block, with so many classes in a block
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -162,8 +164,8 @@ def _count(group: pa.Table, parts: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (cb, hb, db, sb))], schema=_SHARED_ARROW)
 
 
-_CANDIDATE = "class long, n int, grp long, prefix array<long>, shared binary"
-_CANDIDATE_ARROW = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+_CANDIDATE = "class long, n int, grp long, m int, core double, prefix array<long>, shared binary"
+_CANDIDATE_ARROW = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("m", pa.int32()), ("core", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def _prefixes(group: pa.Table, percent: int) -> pa.Table:
@@ -173,7 +175,7 @@ def _prefixes(group: pa.Table, percent: int) -> pa.Table:
     c, h, d, s = c[order], h[order], d[order], s[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    c, h, s = c[new], h[new], s[new]
+    c, h, s, d = c[new], h[new], s[new], np.log2(d[new])
     first = np.flatnonzero(np.diff(c, prepend=c[:1] - 1)) if len(c) else []
     rows = []
     for a, b in zip(first, [*first[1:], len(c)], strict=True):
@@ -182,7 +184,7 @@ def _prefixes(group: pa.Table, percent: int) -> pa.Table:
         k = n - need + 1 - (n - (b - a))
         if k > 0:
             prefix = h[a : min(b, a + k)]
-            rows.append((int(c[a]), n, class_of(np.append(prefix, np.uint64(n))), prefix.view(np.int64), np.sort(h[a:b]).tobytes()))
+            rows.append((int(c[a]), n, class_of(np.append(prefix, np.uint64(n))), int(b - a), float(d[a:b].sum()) / n, prefix.view(np.int64), np.sort(h[a:b]).tobytes()))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_CANDIDATE_ARROW.types)], schema=_CANDIDATE_ARROW)
 
 
@@ -243,33 +245,111 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
 
 def _link(sets: DataFrame, percent: int) -> DataFrame:
-    members = sets.select("grp", "class", "n")
-    leaders = members.groupBy("grp", "n").agg(F.min("class").alias("leader"), F.max("class").alias("last"))
-    inside = members.join(leaders, "grp").where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
-    groups = sets.groupBy("grp", "n").agg(F.min("class").alias("leader"), F.first("prefix").alias("prefix"))
-    lists = stored(groups.select("grp", "n", "leader", F.posexplode("prefix").alias("pos", "h")), "lists")
-    # One group of each list, the same one in as many lists as possible, against all others of the list.
-    pivots = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("grp").alias("o"), F.col("leader").alias("a"), F.col("n").alias("na"))).alias("p"),
-                                    F.count("*").alias("k")).where("k > 1").select("h", "p.a", "p.na")
-    star = lists.join(pivots, "h").where("leader <> a").where(f"100 * least(n, na) >= {percent} * greatest(n, na)").select(
-        "a", F.col("leader").alias("b"))
-    links = stored(_verify(inside.union(star).distinct(), sets, percent), "links")
-    roots = components(links)
-    # What is left: pairs of different components that share a prefix shingle, first of groups, then of their members.
-    known = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
+    groups = sets.groupBy("grp", "n").agg(F.min("class").alias("leader"), F.max("m").alias("m"), F.max("core").alias("core"), F.first("prefix").alias("prefix"))
+    postings = stored(groups.select("grp", "n", "m", "leader", "core", F.explode("prefix").alias("h")), "postings")
+    # Shingles of a shared stretch are held by the same groups: one list stands for all with equal members.
+    held = postings.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.hash("grp").cast("long")).alias("x"), F.bit_xor(F.xxhash64("grp")).alias("y"))
+    kept = held.where("k > 1").groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h")
+    # The members of a group are a list as well, each as a unit of its own.
+    several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
+    within = sets.join(several, "grp").select(F.col("grp").alias("h"), F.col("class").alias("grp"), "n", "m", F.col("class").alias("leader"), "core")
+    lists = stored(postings.join(kept, "h").select("h", "grp", "n", "m", "leader", "core").union(within), "lists")
+    members = stored(sets.select("grp", "class").union(within.select("grp", F.col("leader").alias("class"))), "members")
+    # Both must be able to hold the overlap that two sets of their sizes need: at most what others hold too.
+    close = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
+    links = members.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    for seed in range(STAR_ROUNDS):
+        _, mixed, spread = _known(members, lists, links)
+        open_ = lists.join(mixed, "h").join(spread, "grp")
+        # A few groups of each list against all others of it. Groups whose shingles are the most widely held are nearest
+        # to the common origin of near copies; each pivot is the best of a share of the components so far.
+        share = F.pmod(F.xxhash64("lo", F.lit(seed)), F.lit(STAR_PIVOTS))
+        best = [F.max(F.when(share == k, F.struct("core", "leader", "n", "m", "lo", "hi"))) for k in range(STAR_PIVOTS)]
+        pivots = open_.groupBy("h").agg(F.transform(F.array_compact(F.array(*best)), lambda p: F.struct(
+            p["leader"].alias("a"), p["n"].alias("na"), p["m"].alias("ma"), p["lo"].alias("la"), p["hi"].alias("ha"))).alias("p"))
+        star = open_.join(pivots, "h").select("leader", F.col("n").alias("nb"), F.col("m").alias("mb"), "lo", "hi", F.explode("p").alias("p")).select(
+            "leader", "nb", "mb", "lo", "hi", "p.*").where(
+            "leader <> a and not (lo = ha and hi = la and lo = hi)").where(close).select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
+        links = links.union(stored(_verify(star.distinct(), sets, percent), "links"))
+    # What is left: pairs of groups that share a list and are not of one component, then pairs of their members.
+    known, mixed, spread = _known(members, lists, links)
+    open_ = stored(lists.join(mixed, "h").join(spread, "grp").select("h", "grp", "n", "m", "lo", "hi"), "open")
+    counted = open_.groupBy("h").agg(F.count("*").alias("k"))
+    long_ = _blocks(open_.join(counted.where(f"k > {LONG_LIST}"), "h").join(known, "grp").select("h", "class", "root"), sets, percent)
+    open_ = open_.join(counted.where(f"k <= {LONG_LIST}").select("h"), "h")
+    left, right = (open_.select("h", *(F.col(x).alias(x + k) for x in ("grp", "n", "m", "lo", "hi"))) for k in ("a", "b"))
+    outer = left.join(right, "h").where("grpa < grpb and not (loa = hia and lob = hib and loa = lob)").where(close).select(F.col("grpa").alias("ga"), F.col("grpb").alias("gb"))
+    group_pairs = outer.distinct()
+    side = lambda k: known.select(F.col("grp").alias(f"g{k}"), F.col("class").alias(k), F.col("root").alias(f"r{k}"))
+    pairs = group_pairs.join(side("a"), "ga").join(side("b"), "gb").where("ra <> rb").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return components(links.union(stored(_verify(pairs, sets, percent).union(long_), "links")))
+
+
+def _blocks(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within long lists, from ``units(h, class, root)``: each pair of blocks of a list is one small group.
+
+    A class travels once per block of its list, pairs are never rows, and a pair that is already connected is skipped.
+    """
+    units = units.distinct()
+    size = units.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    own = units.join(size, "h").withColumn("own", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root")
+
+    def check(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(x).to_pylist() for x in ("n", "class", "root", "own", "shared")), strict=True), key=lambda r: r[:2])
+        held = [np.frombuffer(r[4], np.uint64) for r in rows]
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        overlap = _overlaps(held)
+        one_block = len({r[3] for r in rows}) == 1
+        a, b = [], []
+        for y, (n, key, root, block, _) in enumerate(rows):
+            for x in range(y - 1, -1, -1):
+                m = rows[x][0]
+                if 100 * m < percent * n:
+                    break
+                least = min(len(held[x]), len(held[y]))
+                if (one_block or rows[x][3] != block) and (100 + percent) * least >= percent * (m + n) and top(rows[x][2]) != top(root):
+                    both = overlap[x, y]
+                    if 100 * both >= percent * (m + n - both):
+                        a.append(rows[x][1])
+                        b.append(key)
+                        parent[top(rows[x][2])] = top(root)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    wide = dealt.join(sets.select("class", "n", "shared"), "class")
+    return wide.groupBy("h", "i", "j").applyInArrow(check, "a long, b long")
+
+
+def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, as products of 0/1 tables of ``width`` values at a time."""
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        ones = np.zeros((len(sets), width), np.float32)
+        ones[row[a:b], column[a:b] - start] = 1
+        total += (ones @ ones.T).astype(np.int64)
+    return total
+
+
+def _known(members: DataFrame, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with their component so far; lists of more than one component; least and greatest one of each group."""
+    known = members.join(components(links).select(F.col("node").alias("class"), "root"), "class", "left").select(
         "grp", "class", F.coalesce("root", "class").alias("root"))
-    spread = known.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    inner = spread.where("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    spread = stored(known.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
     mixed = lists.join(spread, "grp").groupBy("h").agg(F.min("lo").alias("l"), F.max("hi").alias("m")).where("l <> m").select("h")
-    open_ = lists.join(mixed, "h").join(spread, "grp").select("h", "grp", "n", "lo", "hi")
-    left, right = (open_.select("h", *(F.col(x).alias(x + k) for x in ("grp", "n", "lo", "hi"))) for k in ("a", "b"))
-    outer = left.join(right, "h").where("grpa < grpb and not (loa = hia and lob = hib and loa = lob)").where(
-        f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.col("grpa").alias("ga"), F.col("grpb").alias("gb"))
-    group_pairs = outer.union(inner).distinct()
-    side = lambda k: known.select(F.col("grp").alias(f"g{k}"), F.col("class").alias(k), F.col("root").alias(f"r{k}"))
-    pairs = group_pairs.join(side("a"), "ga").join(side("b"), "gb").where("ra <> rb and (ga <> gb or a < b)").select("a", "b").distinct()
-    rest = stored(_verify(pairs, sets, percent), "links")
-    return components(links.union(rest))
+    return known, stored(mixed, "mixed"), spread
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
