@@ -60,7 +60,7 @@ def pieces(texts: list[bytes]):
             yield a, min(a + DOCS, end)
 
 
-def _df(batches, names: list[str]):
+def _df(batches):
     """Document frequencies of the grams, one partial sum per task."""
     total = np.zeros(WIDTH)
     for batch in batches:
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model
         return None
     names = [r["lang"] for r in found]
     n = sum(r["count"] for r in found)
-    df = sums.collected(sums.add_up(rows.select("text").mapInArrow(lambda x: _df(x, names), sums.SCHEMA), 1), 1, 1, WIDTH)[0, :, 0]
+    df = sums.collected(sums.add_up(rows.select("text").mapInArrow(_df, sums.SCHEMA), 1), 1, 1, WIDTH)[0, :, 0]
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
     each = max(1, sample // len(names))
     share = F.lit(1.0)

@@ -98,10 +98,17 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
+        return self.prefix_hashes()[0]
+
+    def prefix_hashes(self, *sizes: int) -> list[np.ndarray]:
+        """Hashes of the words, then of their first ``sizes`` bytes."""
         power, inverse = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[self.data] * power[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        made = []
+        for ends in (self.ends, *(np.minimum(self.ends, self.starts + k) for k in sizes)):
+            made.append(mix((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64)))
+        return made
 
 
 def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
