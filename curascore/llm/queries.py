@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from curascore.llm import decontaminate, jaccard_join, language_id, mixing, pii, secrets, token_counts, toxicity  # noqa: F401  (modules register on import)
+from curascore.llm import ann, decontaminate, jaccard_join, language_id, mixing, pii, secrets, token_counts, toxicity  # noqa: F401  (modules register on import)
 from curascore.llm.base import REGISTRY
 
 __all__ = ["REGISTRY"]
