@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curascore.llm.base import query, table
 from curascore.llm.words import Words, alphanumeric, byte_texts, chunks, lowered, mix, runs_of
@@ -166,28 +167,30 @@ def _search(batches, shared, keep: list[str]):
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, share: int = SHARE) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``doc_id, n_words, n_hit, items, contaminated``.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, share: int = SHARE,
+                  carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (with ``text``): the columns of ``carry``, ``n_words, n_hit, items, contaminated``.
 
     Words are runs of a-z, 0-9 and characters beyond ASCII after lower-casing A-Z. A window is ``window`` consecutive
     words of a benchmark text, or the whole text if it has fewer (but any) words. A word inside an occurrence is hit;
     ``items`` are the ids of items with an occurring window; contaminated: ``n_hit > 0 and share * n_hit >= n_words``.
     A null or empty text has no words. Benchmark rows without id or text take no part; repeated ids count once. An
-    empty benchmark leaves every row clean. Other columns of either table are not looked at.
+    empty benchmark leaves every row clean. Columns not in
+    ``carry`` are not looked at; those in it must not be named like the results.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    rows = docs.select(*(F.col(c) for c in dict.fromkeys((*carry, "text"))), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     passes = (sc.broadcast(tables(block, window)) for block in blocks(benchmark, block_bytes))
     shared = next(passes, None)
     for following in passes:
-        rows, shared = _pass(rows, shared, ["doc_id", "text"]), following
-    rows = _pass(rows, shared, ["doc_id"])
-    return rows.select("doc_id", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+        rows, shared = _pass(rows, shared, list(dict.fromkeys((*carry, "text")))), following
+    rows = _pass(rows, shared, list(carry))
+    return rows.select(*carry, "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 
 def _pass(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
-    schema = ", ".join({"doc_id": "doc_id long", "text": "text string"}[k] for k in keep)
-    return rows.select("doc_id", "text", "hits", "items").mapInArrow(lambda x: _search(x, shared, keep), f"{schema}, {_MARKS}")
+    schema = StructType([rows.schema[c] for c in keep] + StructType.fromDDL(_MARKS).fields)
+    return rows.mapInArrow(lambda x: _search(x, shared, keep), schema)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -210,6 +213,7 @@ from d left join hit using (rid) left join it using (rid)"""
 
 @query("op6_benchmark_decontamination", SQL)
 def op6_benchmark_decontamination(spark, sf_dir):
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curascore.llm.base import query, stored, table, text_bytes
 from curascore.llm.components import components
@@ -370,6 +371,35 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
         F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "class")
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row left of each component: that with the smallest id (null ids last), of equal ids the one
+    with the smallest class. Rows without shingles all stay; rows that agree in id and shingles are one."""
+    rows, roots = jaccard_classes(docs, percent, size)
+    order = F.coalesce("doc_id", F.lit(2**63 - 1))
+    placed = rows.where("n > 0").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    best = placed.groupBy("root").agg(F.min(F.struct(order.alias("_o"), F.col("class").alias("_class"))).alias("x")).select("x.*")
+    names = docs.columns
+    plain = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_o"))
+    schema = StructType([f for f in plain.schema.fields if f.name != "text"] + StructType.fromDDL("_class long, _n int").fields)
+
+    def classed(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            sets = [(class_of(x), len(x)) for x in shingle_sets(byte_texts(batch.column("text")), size)]
+            keep = []
+            for i, (key, (c, n)) in enumerate(zip(batch.column("_o").to_pylist(), sets, strict=True)):
+                if n == 0 or (key, c) not in seen:
+                    seen.add((key, c))
+                    keep.append(i)
+            columns = {x: batch.column(x) for x in batch.schema.names if x != "text"}
+            columns |= {"_class": pa.array([c for c, _ in sets], pa.int64()), "_n": pa.array([n for _, n in sets], pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns).take(pa.array(keep, pa.int64()))
+
+    made = plain.mapInArrow(classed, schema)
+    chosen = made.where("_n > 0").join(best, ["_o", "_class"], "left_semi").dropDuplicates(["_o", "_class"])
+    return made.where("_n = 0").unionByName(chosen).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+
+
 @query("op1_ngram_jaccard_join")
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).drop("class")

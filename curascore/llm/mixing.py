@@ -19,12 +19,12 @@ MOST_REPEATS = 3
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``sk`` (source as a key without nulls), ``size`` in words and the hash ``h`` of id and text."""
+def sized(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Columns of ``carry``, ``sk`` (source as a key without nulls), ``size`` in words and the hash ``h`` of id and text."""
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
     return docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("sk"),
+        *carry, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("sk"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
 
@@ -60,16 +60,18 @@ def _crossing(sums: DataFrame, by: str) -> DataFrame:
         "sk", F.col(f"x.{by}").alias(by), (F.col("x.cum") - F.col("x.s")).alias("base"), "x.need", "x.s")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Per row of ``docs(doc_id, source, text)``: ``doc_id, size, source_size, target, taken``.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS,
+                carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs(doc_id, source, text)``: the columns of ``carry``, ``size, source_size, target, taken``.
 
     Every document is taken ``floor(target / source_size)`` times; those with the smallest hashes once more, up to
     the sum nearest to what is missing. The choice depends on ids and texts only, so a rerun repeats it. Null texts
     have no words; a null source is one of its own, last in order; null ids are hashed as empty, so rows that agree in
     id and text have one hash, and of those at the threshold as many as needed are taken. No rows give no rows; a
-    source without words has target 0. Other columns of ``docs`` are not looked at.
+    source without words has target 0. Columns not in ``carry`` are not looked at;
+    those in it must not be named like the results.
     """
-    rows = stored(sized(docs), "sizes")
+    rows = stored(sized(docs, ("doc_id",)), "sizes")
     totals = rows.groupBy("sk").agg(F.sum("size").alias("source_size"))
     share = stored(targets(totals, weights, most), "targets").withColumn(
         "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -84,11 +86,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     last = _crossing(exact.select("sk", "base", "need", "h", "s"), "h").join(exact.select("sk", "h", "k"), ["sk", "h"])
     edges = last.select("sk", F.col("h").alias("edge"), F.floor((F.col("need") - F.col("base")) * F.col("k") / F.col("s") + F.lit(0.5)).alias("ties"))
     plan = stored(share.join(edges, "sk", "left").select("sk", "source_size", "target", "passes", "edge", F.coalesce("ties", F.lit(0)).alias("ties")), "thresholds")
-    placed = lookup_join(rows, plan, "sk", "left")
+    placed = lookup_join(rows if carry == ("doc_id",) else sized(docs, carry), plan, "sk", "left")
     at_edge = F.coalesce(F.col("h") == F.col("edge"), F.lit(False))
     plain = placed.where(~at_edge).withColumn("more", F.coalesce(F.col("h") < F.col("edge"), F.lit(False)))
-    tied = placed.where(at_edge).withColumn("more", F.row_number().over(Window.partitionBy("sk").orderBy("doc_id", "size")) <= F.col("ties"))
-    return plain.union(tied).select("doc_id", "size", "source_size", "target",
+    tied = placed.where(at_edge).withColumn("more", F.row_number().over(Window.partitionBy("sk").orderBy(*carry)) <= F.col("ties"))
+    return plain.union(tied).select(*carry, "size", "source_size", "target",
                                     (F.col("size") * (F.col("passes") + F.col("more").cast("long"))).alias("taken"))
 
 
@@ -113,4 +115,4 @@ from (select e.*, row_number() over (partition by sk, h order by doc_id, size) a
 
 @query("op7_mix_sources", SQL)
 def op7_mix_sources(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")))
