@@ -25,7 +25,7 @@ SAMPLE = 1_024  # labelled rows, over all languages, that the starting points ar
 MAX_LANGUAGES = 512  # bounds the model; more learned values raise an error
 BINS = 256
 TAIL = 0.001  # share of labelled rows in the low end of the cosines
-SLACK = 0.5  # rejected below this part of the cosine at that end
+SLACK = 0.3  # rejected below this part of the cosine at that end
 DOCS = 256  # texts that are dense at a time
 
 
