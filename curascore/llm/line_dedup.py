@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curascore.llm.base import query, table
+from curascore.llm.base import query, stored, table
 
 GRAM, WINDOW = 40, 10
 REACH = GRAM + WINDOW
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     treated as one and keep the same text. Columns ``n_lines`` and ``n_removed`` of ``docs`` are replaced.
     """
     docs = keyed(docs.drop("n_lines", "n_removed", "_o", "_k"))
-    ranges = repeated_runs(fingerprints(lines_of(docs), gram, window)).groupBy("o", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cut"))
+    ranges = repeated_runs(stored(fingerprints(lines_of(docs), gram, window), "fingerprints")).groupBy("o", "k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cut"))
     joined = docs.join(ranges.select(F.col("o").alias("_o"), F.col("k").alias("_k"), "_cut"), ["_o", "_k"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("_cut", lambda r: (i >= r["a"]) & (i <= r["b"])))
