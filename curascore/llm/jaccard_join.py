@@ -32,7 +32,7 @@ PART_BYTES = 8_000_000  # bytes of text whose shingles form one part
 FLUSH = 600_000  # shingles that a task gathers before it deals them out
 FREQUENT = 48  # classes of one flush that make a shingle frequent
 FREQUENT_DF = 2**31 - 1
-STAR_ROUNDS, STAR_PIVOTS = 2, 6
+STAR_PIVOTS = 6
 LONG_LIST, BLOCK = 64, 192  # lists above are compared block by block, with so many classes in a block
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -258,20 +258,15 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     members = stored(sets.select("grp", "class").union(within.select("grp", F.col("leader").alias("class"))), "members")
     # Both must be able to hold the overlap that two sets of their sizes need: at most what others hold too.
     close = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
-    links = members.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    for seed in range(STAR_ROUNDS):
-        _, mixed, spread = _known(members, lists, links)
-        open_ = lists.join(mixed, "h").join(spread, "grp")
-        # A few groups of each list against all others of it. Groups whose shingles are the most widely held are nearest
-        # to the common origin of near copies; each pivot is the best of a share of the components so far.
-        share = F.pmod(F.xxhash64("lo", F.lit(seed)), F.lit(STAR_PIVOTS))
-        best = [F.max(F.when(share == k, F.struct("core", "leader", "n", "m", "lo", "hi"))) for k in range(STAR_PIVOTS)]
-        pivots = open_.groupBy("h").agg(F.transform(F.array_compact(F.array(*best)), lambda p: F.struct(
-            p["leader"].alias("a"), p["n"].alias("na"), p["m"].alias("ma"), p["lo"].alias("la"), p["hi"].alias("ha"))).alias("p"))
-        star = open_.join(pivots, "h").select("leader", F.col("n").alias("nb"), F.col("m").alias("mb"), "lo", "hi", F.explode("p").alias("p")).select(
-            "leader", "nb", "mb", "lo", "hi", "p.*").where(
-            "leader <> a and not (lo = ha and hi = la and lo = hi)").where(close).select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
-        links = links.union(stored(_verify(star.distinct(), sets, percent), "links"))
+    # A few groups of each list against all others of it. Groups whose shingles are the most widely held are nearest to
+    # the common origin of near copies; each pivot is the best of a share of the groups.
+    share = F.pmod(F.xxhash64("grp"), F.lit(STAR_PIVOTS))
+    best = [F.max(F.when(share == k, F.struct("core", "leader", "n", "m"))) for k in range(STAR_PIVOTS)]
+    pivots = lists.groupBy("h").agg(F.transform(F.array_compact(F.array(*best)), lambda p: F.struct(
+        p["leader"].alias("a"), p["n"].alias("na"), p["m"].alias("ma"))).alias("p"))
+    star = lists.join(pivots, "h").select("leader", F.col("n").alias("nb"), F.col("m").alias("mb"), F.explode("p").alias("p")).select(
+        "leader", "nb", "mb", "p.*").where("leader <> a").where(close).select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
+    links = stored(_verify(star.distinct(), sets, percent), "links")
     # What is left: pairs of groups that share a list and are not of one component, then pairs of their members.
     known, mixed, spread = _known(members, lists, links)
     open_ = stored(lists.join(mixed, "h").join(spread, "grp").select("h", "grp", "n", "m", "lo", "hi"), "open")
