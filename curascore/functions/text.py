@@ -23,25 +23,31 @@ LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 # help, and the matcher then loops instead of recursing on long lines.
 _PHRASE = rf"({WORD}++(?: {WORD}++)*+)"
 _NAME = rf"({WORD}++)"
+# Space that ends with a line break is read once and looked back on, so that long runs of line breaks stay linear.
+_BREAK = rf"{SPACE}*+(?<=[\r\n])"
 OUTPUT_PATTERNS = (
-    rf"(?iu)(?:Class|Answer|Crop):{SPACE}*{_PHRASE}{SPACE}*[\r\n]+Disease:{SPACE}*{_NAME}",
-    rf"(?iu)Answer:{SPACE}*[\r\n]+{_PHRASE}{SPACE}*[\r\n]+{_NAME}",
-    rf"(?iu)Disease:{SPACE}*{_NAME}{SPACE}*[\r\n]+(?:Crop|Class|Answer):{SPACE}*{_PHRASE}",
+    rf"(?iu)(?:Class|Answer|Crop):{SPACE}*+{_PHRASE}{_BREAK}Disease:{SPACE}*+{_NAME}",
+    rf"(?iu)Answer:{_BREAK}{_PHRASE}{_BREAK}{_NAME}",
+    rf"(?iu)Disease:{SPACE}*+{_NAME}{_BREAK}(?:Crop|Class|Answer):{SPACE}*+{_PHRASE}",
 )
 CROP_LINE = rf"(?i)crop{NON_WORD}*+([a-z]++(?: [a-z]++)*+)"
 DISEASE_LINE = rf"(?i)disease{NON_WORD}*+([a-z]++(?:_[a-z]++)*+)"
+# The crop ends at the last word before the space in front of "Disease:"; the second form takes a crop of space only.
 # The disease ends before the first bracket if the text closes with one, else it is all of the rest; written as two
 # branches, so that a text with many brackets is still read once.
+_CROP_WORD = r"[\p{L}\p{N}_-]++"
 ZERO_SHOT = (
-    rf"(?isu)^{SPACE}*(?:Class|Crop):{SPACE}*\*?([\p{{L}}\p{{N}}_\t-\r\x1c-\x1f\x85\p{{Z}} -]+?)\*?{SPACE}*[\r\n]+"
+    rf"(?isu)^{SPACE}*+(?:Class|Crop):"
+    rf"(?:{SPACE}*+(?:\*{SPACE}*+)?+({_CROP_WORD}(?:{SPACE}++(?!(?<=[\r\n])Disease:){_CROP_WORD})*+){SPACE}*+(?:\*{SPACE}*+)?+"
+    rf"|(?:{SPACE}*+\*)?({SPACE})(?:{SPACE}*+\*)?+{SPACE}++)(?<=[\r\n])"
     rf"Disease:{SPACE}*\*?(?:([^(]*+)\(.*\)\*?{SPACE}*\z|(.*)\z)"
 )
-CLOSING_MARK = rf"\*?{SPACE}*\z"
+CLOSING_MARK = rf"(?:\*{SPACE}*+|(?<!{SPACE}){SPACE}++)\z"
 
 
 def strip(c: Column | str) -> Column:
     """Remove whitespace of every kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(col_of(c), rf"\A{SPACE}++|{SPACE}++\z", "")
+    return F.regexp_replace(col_of(c), rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def compose_label(crop: Column | str = "crop", disease: Column | str = "disease") -> Column:
@@ -145,13 +151,13 @@ def parse_zero_shot(c: Column | str) -> Column:
         return F.concat(tidy(crop), F.lit("_"), tidy(bare))
 
     def disease_part(out: Column) -> Column:
-        rest = F.regexp_replace(F.regexp_extract(out, ZERO_SHOT, 3), CLOSING_MARK, "")
-        return strip(F.concat(F.regexp_extract(out, ZERO_SHOT, 2), rest))  # one of the two is empty
+        rest = F.regexp_replace(F.regexp_extract(out, ZERO_SHOT, 4), CLOSING_MARK, "")
+        return strip(F.concat(F.regexp_extract(out, ZERO_SHOT, 3), rest))  # one of the two is empty
 
     found = let(
         col_of(c),
         lambda out: let(
-            F.regexp_extract(out, ZERO_SHOT, 1),
+            F.concat(F.regexp_extract(out, ZERO_SHOT, 1), F.regexp_extract(out, ZERO_SHOT, 2)),
             lambda raw: F.when(
                 raw != "",
                 let(F.struct(strip(raw).alias("crop"), disease_part(out).alias("disease")), lambda p: label(p["crop"], p["disease"])),

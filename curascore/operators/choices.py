@@ -22,7 +22,8 @@ def _with_slots(df: DataFrame, position: str, n_labels: int, seed: int, row_id:
     picks the slot of the true label. Distractors keep their draw order, which is random already. The steps are
     plain columns, so that they compile and each runs once.
     """
-    others = n_labels - 1
+    # A true label outside the vocabulary leaves all labels as distractors.
+    others = F.when(F.col(position).isNull(), F.lit(n_labels)).otherwise(F.lit(n_labels - 1)).cast("bigint")
     word = lambda i: hex_word(F.col("_h"), i)
     a, b, x, k, p = (F.col(c) for c in ("_a", "_b", "_x", "_k", position))
     out = (
@@ -47,27 +48,29 @@ def _with_slots(df: DataFrame, position: str, n_labels: int, seed: int, row_id:
 
 def build_choices(df: DataFrame, vocab: DataFrame | Dimension, seed: int = EVALUATION_SEED, row_id: str = "sample_id",
                   label: str = "crop_disease_label") -> DataFrame:
-    """Add ``options``: a map A-D to the true label and three random others. Needs a vocabulary of at least 4."""
+    """Add ``options``: a map A-D to the true label and three random others. Needs a vocabulary of at least 4.
+
+    The true label is an option whether or not the vocabulary has it. Rows may share a ``row_id``.
+    """
     table = bounded(vocab)
-    coded = encode_labels(df, table, label, how="inner").withColumnRenamed("class_id", "_pos")
+    coded = encode_labels(df, table, label).withColumnRenamed("class_id", "_pos")
     keys = F.array(*[F.lit(k) for k in CHOICE_KEYS])
     labels = label_list(table)
     if labels is not None:
         drawn, slots = _with_slots(coded, "_pos", len(labels), seed, row_id)
         names = F.array(*[F.lit(x) for x in labels])
-        options = F.map_from_arrays(keys, F.array(*[F.get(names, slot) for slot in slots]))
+        options = F.map_from_arrays(keys, F.array(*[F.coalesce(F.get(names, slot), F.col(label)) for slot in slots]))
         return drawn.select(*df.columns, options.alias("options"))
-    # Vocabulary too large to ship: look the four positions up by join and put the options together again.
+    # Vocabulary too large to ship: look up the four positions one after the other; rows stay as they are.
     drawn, slots = _with_slots(coded, "_pos", table.frame.count(), seed, row_id)
-    long = drawn.select(row_id, F.posexplode(F.array(*slots)).alias("_at", "class_id"))
-    named = lookup_join(long, table.frame.select("class_id", "label"), "class_id")
-    options = named.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_at", "label"))).alias("_o"))  # four per row
-    options = options.select(row_id, F.map_from_arrays(keys, F.col("_o.label")).alias("options"))
-    return coded.drop("_pos").join(options, row_id).select(*df.columns, "options")
+    out = drawn.select(*df.columns, *[slot.alias(f"_s{i}") for i, slot in enumerate(slots)])
+    for i in range(len(slots)):
+        out = lookup_join(out, table.frame.select(F.col("class_id").alias(f"_s{i}"), F.col("label").alias(f"_o{i}")), f"_s{i}", "left")
+    options = F.map_from_arrays(keys, F.array(*[F.coalesce(F.col(f"_o{i}"), F.col(label)) for i in range(len(slots))]))
+    return out.select(*df.columns, options.alias("options"))
 
 
-def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "output", name: str = "label",
-                  row_id: str = "sample_id") -> DataFrame:
+def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "output", name: str = "label") -> DataFrame:
     """First label in list order that occurs in the output, else ``false_parse``.
 
     A short class list becomes one compiled expression. A longer one is matched by an equi-join on the first
@@ -77,21 +80,22 @@ def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "
     labels = label_list(table, "list_pos")
     if labels is not None and len(labels) <= MAX_BRANCHES:
         return df.withColumn(name, first_contained(output, labels))
-    return _context_match_by_join(df, table.frame, output, name, row_id)
+    return _context_match_by_join(df, table.frame, output, name)
 
 
-def _context_match_by_join(df: DataFrame, classes: DataFrame, output: str, name: str, row_id: str) -> DataFrame:
-    width = min(12, classes.agg(F.min(F.length("label"))).first()[0])
+def _context_match_by_join(df: DataFrame, classes: DataFrame, output: str, name: str) -> DataFrame:
+    """Distinct outputs, by digest, become one row per place with a window as long as the longest label."""
+    low, high = classes.agg(F.min(F.length("label")), F.max(F.length("label"))).first()
+    width = min(12, low)
     heads = classes.select("label", "list_pos", F.substring("label", 1, width).alias("_gram"))
-
-    def substrings(text: Column) -> Column:
-        starts = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - (width - 1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width))))
-
-    grams = df.select(row_id, output, F.explode(let(F.col(output), substrings)).alias("_gram"))
-    hits = lookup_join(grams, heads, "_gram").where(F.contains(output, F.col("label")))
-    best = hits.groupBy(row_id).agg(F.min_by("label", "list_pos").alias(name))
-    return df.join(best, row_id, "left").withColumn(name, F.coalesce(name, F.lit(FALSE_PARSE)))
+    keyed = df.withColumn("_key", F.md5(output))
+    texts = keyed.where("_key is not null").select("_key", F.col(output).alias("_text")).dropDuplicates(["_key"])
+    # An empty match at every place looks ahead, so a long text is read once.
+    windows = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{width},{high}}}))"), F.lit(1))
+    grams = texts.select("_key", F.explode(windows).alias("_window")).withColumn("_gram", F.substring("_window", 1, width))
+    hits = lookup_join(grams, heads, "_gram").where(F.startswith("_window", F.col("label")))
+    best = hits.groupBy("_key").agg(F.min_by("label", "list_pos").alias(name))
+    return keyed.join(best, "_key", "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(FALSE_PARSE)))
 
 
 def resolve_prediction(df: DataFrame, regime: str | None, output: str = "output", classes: DataFrame | Dimension | None = None,
@@ -112,7 +116,10 @@ def resolve_prediction(df: DataFrame, regime: str | None, output: str = "output"
 
 def resolve_by_regime(df: DataFrame, regime: str = "regime", output: str = "output",
                       classes: DataFrame | Dimension | None = None, options: str = "options") -> DataFrame:
-    """Like ``resolve_prediction``, with the regime in a column, so that runs of several regimes go in one pass."""
+    """Like ``resolve_prediction``, with the regime in a column, so that runs of several regimes go in one pass.
+
+    A row whose regime needs the class list or the options, where these were not given, is an error when it is read.
+    """
     r = F.col(regime)
     table = bounded(classes) if classes is not None else None
     labels = label_list(table, "list_pos") if table is not None else None
@@ -124,11 +131,12 @@ def resolve_by_regime(df: DataFrame, regime: str = "regime", output: str = "outp
     def plain(label: Column) -> Column:
         return F.struct(label.alias("label"), F.lit(False).alias("is_fallback"))
 
+    def missing(what: str) -> Column:
+        return plain(F.raise_error(F.lit(what)).cast("string"))
+
     chosen = F.when(r == "pure", parse_zero_shot(output))
-    if labels is not None:
-        chosen = chosen.when(r == "context", plain(first_contained(output, labels)))
-    if options in df.columns:
-        chosen = chosen.when(r == "mcq", plain(decode_choice(output, options)))
+    chosen = chosen.when(r == "context", plain(first_contained(output, labels)) if labels is not None else missing("the context regime needs the class list"))
+    chosen = chosen.when(r == "mcq", plain(decode_choice(output, options)) if options in df.columns else missing("the mcq regime needs the options"))
     return df.withColumn("_p", chosen.otherwise(parse_output(output))).select("*", "_p.label", "_p.is_fallback").drop("_p")
 
 

@@ -73,7 +73,9 @@ def class_table(df: DataFrame, list_order: Column | None = None) -> DataFrame:
     table = bounded(distinct)
     order = list_order if list_order is not None else F.col("label")
     if not table.is_small:
-        ids = positions(table.frame, ["label", "crop", "disease"], "class_id")
+        # Ids number the labels: two crops that lower-case to one label share an id.
+        numbered = positions(table.frame.select("label").distinct(), ["label"], "class_id")
+        ids = lookup_join(table.frame, numbered, "label")
         ids = ids.withColumn("_order", order)
         out = positions(ids, ["_order", "label", "crop", "disease"], "list_pos").drop("_order")
         return out.withColumn("class_id", F.col("class_id").cast("int")).withColumn("list_pos", F.col("list_pos").cast("int"))
@@ -132,11 +134,17 @@ def distractor_candidates(df: DataFrame, labels: list[str], label: str = "crop_d
     return df.withColumn("candidates", F.array_except(vocab, F.array(F.col(label))))
 
 
-def label_list(vocab: DataFrame | Dimension, order: str = "class_id") -> list[str] | None:
-    """The labels as a Python list for use in expressions; None when the vocabulary is not proven small."""
+def label_list(vocab: DataFrame | Dimension, order: str | None = None) -> list[str] | None:
+    """The labels as a Python list for use in expressions; None when the vocabulary is not proven small.
+
+    Their order is that of the named column, which must be there; by default that of ``class_id``, or sorted.
+    """
     table = bounded(vocab)
     if not table.is_small:
         return None
+    if order is not None and order not in table.rows.column_names:
+        raise ValueError(f"the vocabulary has no column {order}")
+    order = order or "class_id"
     pairs = table.rows.select(["label", order]).to_pylist() if order in table.rows.column_names else None
     if pairs is None:
         return sorted(x["label"] for x in table.rows.select(["label"]).to_pylist())

@@ -28,11 +28,19 @@ def confusion_long(df: DataFrame, keys: list[str] | None = None, weight: str | N
 
 
 def confusion_matrix(counts: DataFrame, n_classes: int, views: tuple[str, ...] = VIEWS) -> DataFrame:
-    """Wide n x n matrix per view: one row per true class, columns ``p0..`` by predicted class, zeros filled."""
+    """Wide n x n matrix per view: one row per true class, columns ``p0..`` by predicted class, zeros filled.
+
+    A class id outside ``0..n_classes - 1`` is an error when the matrix is computed, as its cell has no place.
+    """
     rows = counts.sparkSession.range(n_classes).select(
         F.explode(F.array(*[F.lit(v) for v in views])).alias("view"), F.col("id").cast("int").alias("y_true"))
-    wide = counts.groupBy("view", "y_true").pivot("y_pred", list(range(n_classes))).agg(F.sum("n"))
-    wide = wide.select("view", "y_true", *[F.col(str(i)).alias(f"p{i}") for i in range(n_classes)])
+    inside = F.col("y_true").between(0, n_classes - 1) & F.col("y_pred").between(0, n_classes - 1)
+    stray = F.raise_error(F.concat(F.lit(f"class id outside 0..{n_classes - 1}: "), F.concat_ws(", ", "y_true", "y_pred")))
+    cells = counts.groupBy("view", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    # One map of at most n entries per row instead of n aggregates.
+    row = cells.groupBy("view", F.when(inside, F.col("y_true")).otherwise(stray.cast("int")).alias("y_true")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("y_pred").cast("int"), "n"))).alias("_row"))
+    wide = row.select("view", "y_true", *[F.try_element_at("_row", F.lit(i)).alias(f"p{i}") for i in range(n_classes)])
     return rows.join(wide, ["view", "y_true"], "left").na.fill(0)
 
 
@@ -101,19 +109,31 @@ def macro_accuracy(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return metrics_by_view(df, keys).select(*(keys or []), "view", F.col("balanced_accuracy").alias("macro_accuracy"))
 
 
-def combine_views(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """F1, precision and recall of the three views side by side, one row per class; 0 where a class is absent."""
+def combine_views(metrics: DataFrame, keys: list[str] | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """F1, precision and recall of the three views side by side, one row per class; 0 where a class is absent.
+
+    ``classes(class_id, label)`` adds the label and the classes that no view has, once per combination of keys.
+    """
     wide = metrics.groupBy(*(keys or []), "class_id").pivot("view", list(VIEWS)).agg(
         F.first("f1").alias("f1"), F.first("precision").alias("precision"), F.first("recall").alias("recall")
     )
     names = [(f"{view}_{m}", f"{m}_{view}") for m in ("f1", "precision", "recall") for view in VIEWS]
-    return wide.select(*(keys or []), "class_id", *[F.coalesce(F.col(a), F.lit(0.0)).alias(b) for a, b in names])
+    table = wide.select(*(keys or []), "class_id", *[F.coalesce(F.col(a), F.lit(0.0)).alias(b) for a, b in names])
+    if classes is None:
+        return table
+    every = classes.select(F.col("class_id").cast("int"), "label")
+    if keys:  # the classes of a vocabulary for each of the runs
+        runs = table.select(*keys).distinct().groupBy().agg(F.collect_list(F.struct(*keys)).alias("_runs"))
+        every = every.join(runs).select("class_id", "label", F.explode("_runs").alias("_k")).select("_k.*", "class_id", "label")
+    return every.join(table, [*(keys or []), "class_id"], "left").na.fill(0.0, [b for _, b in names])
 
 
 def matrix_to_long(wide: DataFrame, n_classes: int, row: str = "y_true", keep: list[str] | None = None) -> DataFrame:
-    """Stored wide matrix -> (true, predicted, n) for the non-zero cells."""
+    """Stored wide matrix -> (true, predicted, n) for the non-zero cells; it must have ``n_classes`` value columns."""
     extra = keep or []
-    columns = [c for c in wide.columns if c not in (row, *extra)][:n_classes]
+    columns = [c for c in wide.columns if c not in (row, *extra)]
+    if len(columns) != n_classes:
+        raise ValueError(f"the matrix has {len(columns)} value columns, not {n_classes}")
     cells = wide.unpivot([*extra, row], columns, "_column", "n")
     at = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     return cells.select(

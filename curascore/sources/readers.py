@@ -48,20 +48,25 @@ def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTP
 
 
 def read_matrix_csv(spark: SparkSession, path: str, n_classes: int) -> DataFrame:
-    """Headerless integer matrix with its row number; a heading row or byte-order mark in front is skipped.
+    """Headerless integer matrix with its row number; a heading in the first line and a byte-order mark are skipped.
 
-    Row order is the place in the file (block, then line), not the order in which tasks deliver rows.
+    Row order is the place in the file (block, then line), not the order in which tasks deliver rows. Any other line
+    that does not hold exactly ``n_classes`` integers is an error when it is read; empty lines are skipped.
     """
     names = [f"p{i}" for i in range(n_classes)]
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-    placed = raw.select(
-        *names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+    line = F.regexp_replace("value", "^\ufeff", "")
+    placed = spark.read.text(path).where(F.trim(line) != "").select(
+        F.transform(F.split(line, ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("_cells"), line.alias("_text"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    numeric = placed.where(F.col("p0").try_cast("bigint").isNotNull()).select(
-        *[F.col(n).try_cast("bigint").alias(n) for n in names], "_file", "_block", "_line"
-    )
-    return positions(numeric, ["_file", "_block", "_line"], "y_true").select("y_true", *names)
+    numbered = positions(placed, ["_file", "_block", "_line"], "_pos")
+    numeric = F.forall("_cells", lambda c: c.try_cast("bigint").isNotNull())
+    heading = int(not numbered.where(F.col("_pos") == 0).where(~numeric).isEmpty())
+    wrong = F.raise_error(F.concat(F.lit(f"not {n_classes} integers: "), F.substring("_text", 1, 200)))
+    cells = F.when(numeric & (F.size("_cells") == n_classes), F.col("_cells")).otherwise(wrong.cast("array<string>"))
+    rows = numbered.where(F.col("_pos") >= heading).select((F.col("_pos") - heading).alias("y_true"), cells.alias("_cells"))
+    return rows.select("y_true", *[F.get("_cells", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(names)])
 
 
 def list_checkpoints(spark: SparkSession, folder: str, pattern: str = "*.pth") -> DataFrame:

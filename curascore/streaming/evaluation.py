@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +18,18 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    files, place = _files(spark, path)
+    if not files.exists(place) or files.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # The file source watches folders: a single file is watched in its folder by its exact name.
     folder, name = os.path.split(path.rstrip("/"))
-    # The file source watches folders: a single file is watched in its folder by name. A table that is a
-    # folder matches the same pattern as a folder.
-    return reader.parquet(os.path.join(folder, f"{name}*"))
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path, and the path as that file system knows it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def streaming_parse(stream: DataFrame, output: str = "output", regime: str | None = None) -> DataFrame:
@@ -45,13 +54,12 @@ def streaming_confusion(stream: DataFrame) -> DataFrame:
 def run_confusion(stream: DataFrame, path: str) -> DataFrame:
     """Drain the stream; each micro-batch replaces the snapshot folder of its batch id, so a retry is harmless.
 
-    Returns the confusion counts per view of the last snapshot.
+    Returns the confusion counts per view of the newest snapshot in the folder, which may be of an earlier run; a
+    stream that never had a row gives no rows.
     """
     counts = streaming_confusion(stream)
-    seen: list[int] = []
 
     def snapshot(batch: DataFrame, batch_id: int) -> None:
-        seen.append(batch_id)
         confusion_long(batch, weight="n").write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
 
     query = (
@@ -59,7 +67,13 @@ def run_confusion(stream: DataFrame, path: str) -> DataFrame:
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return counts.sparkSession.read.parquet(f"{path}/snapshots/batch={max(seen)}")
+    spark = counts.sparkSession
+    files, folder = _files(spark, f"{path}/snapshots")
+    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    batches = [int(name.split("=")[1]) for name in found if name.startswith("batch=")]
+    if not batches:
+        return confusion_long(spark.createDataFrame([], "source string, y_true int, y_pred int"))
+    return spark.read.parquet(f"{path}/snapshots/batch={max(batches)}")
 
 
 def run_parse(parsed: DataFrame, path: str) -> DataFrame:

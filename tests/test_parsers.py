@@ -1,5 +1,8 @@
 """Output parsers: one row per branch, expectations worked out by hand."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,37 @@ def test_number_text_is_python_text(spark, value):
 
 def test_strip_takes_all_whitespace(spark):
     assert frame(spark, [" \t x y\x85\n"]).select(TX.strip("output").alias("s")).first().s == "x y"
+
+
+# The patterns as first written, with all their backtracking; only short texts are tried with them.
+PLAIN_OUTPUT = tuple(p.format(s=TX.SPACE, w=rf"({TX.WORD}+(?: {TX.WORD}+)*)", n=rf"({TX.WORD}+)") for p in (
+    r"(?iu)(?:Class|Answer|Crop):{s}*{w}{s}*[\r\n]+Disease:{s}*{n}", r"(?iu)Answer:{s}*[\r\n]+{w}{s}*[\r\n]+{n}",
+    r"(?iu)Disease:{s}*{n}{s}*[\r\n]+(?:Crop|Class|Answer):{s}*{w}"))
+PLAIN_ZERO_SHOT = (
+    rf"(?isu)^{TX.SPACE}*(?:Class|Crop):{TX.SPACE}*\*?([\p{{L}}\p{{N}}_\t-\r\x1c-\x1f\x85\p{{Z}} -]+?)\*?{TX.SPACE}*[\r\n]+"
+    rf"Disease:{TX.SPACE}*\*?(?:([^(]*+)\(.*\)\*?{TX.SPACE}*\z|(.*)\z)")
+
+
+def test_patterns_equal_their_plain_forms(spark):
+    rng = random.Random(4)
+    parts = ["Class:", "crop:", "Answer:", "Disease:", "disease", "\n", "\n", "\r\n", " ", " ", "*", "apple", "Leaf", "_", "-", "(", ")", "x", ":"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts += [f"Class:{''.join(rng.choice(parts[5:14]) for _ in range(rng.randrange(0, 6)))}Disease:{''.join(rng.choice(parts) for _ in range(4))}" for _ in range(3000)]
+    e = F.regexp_extract
+    pairs = [F.array(*(F.array(e("output", q, 1), e("output", q, 2)) for q in patterns)) for patterns in (PLAIN_OUTPUT, TX.OUTPUT_PATTERNS)]
+    zero = TX.ZERO_SHOT
+    plain = F.array(TX.strip(e("output", PLAIN_ZERO_SHOT, 1)), e("output", PLAIN_ZERO_SHOT, 2), e("output", PLAIN_ZERO_SHOT, 3), F.rlike("output", F.lit(PLAIN_ZERO_SHOT)).cast("string"))
+    ours = F.array(TX.strip(e("output", zero, 1)), e("output", zero, 3), e("output", zero, 4), F.rlike("output", F.lit(zero)).cast("string"))
+    closing = [F.regexp_replace("output", rf"\*?{TX.SPACE}*\z", ""), F.regexp_replace("output", TX.CLOSING_MARK, "")]
+    rows = frame(spark, texts).select("output", *(c.alias(n) for n, c in zip("abcdef", [*pairs, plain, ours, *closing], strict=True))).collect()
+    for r in rows:
+        assert r["a"] == r["b"] and r["c"] == r["d"] and r["e"] == r["f"], r["output"]
+
+
+@pytest.mark.parametrize("run", ["\n", " ", "*", "\r\n", "\t"])
+def test_long_runs_are_linear(spark, run):
+    long = run * 10_000
+    texts = [f"Class: {long}x", f"Class: a{long}x", f"Answer:{long}x", f"Class: a{long}Disease: b{long}c", f"{long}x{long}", f"Disease: a{long}b"]
+    start = time.perf_counter()
+    out = frame(spark, texts).select(TX.parse_output("output").alias("p"), TX.parse_zero_shot("output").alias("z"), TX.strip("output").alias("s")).collect()
+    assert len(out) == len(texts) and time.perf_counter() - start < 10
