@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
@@ -189,6 +190,31 @@ def _(spark, sf):
     return context_match(V.outputs(spark, sf), V.classes(spark, sf)).select("sample_id", "label")
 
 
+# The form for class lists that are too large to ship, forced.
+@query("j8_context_match_join", """
+select sample_id, coalesce((select arg_min(label, list_pos) from classes c where contains(o.output, c.label)), 'false_parse') as label
+from outputs o""", ("outputs", "classes"))
+def _(spark, sf):
+    return context_match(V.outputs(spark, sf), Dimension(bounded(V.classes(spark, sf)).frame, None)).select("sample_id", "label")
+
+
+# Whole documents and pages against class names that do occur in them.
+@query("j8_context_match_texts", """
+select t.sample_id, coalesce((select arg_min(c.label, c.list_pos) from words c where contains(t.text, c.label)), 'false_parse') as label
+from texts t""", (), {
+    "words": "select label, (row_number() over (order by md5(label)) - 1)::int as list_pos from (select distinct upper(p_brand) as label from part"
+             " union select distinct n_name from nation union select 'and the of' union select 'ententeel' union select 'thion') w",
+    "texts": "select doc_id * 2 as sample_id, text from documents union all select page_id * 2 + 1, html from pages"})
+def _(spark, sf):
+    t = lambda name: V.table(spark, sf, name)
+    own = spark.createDataFrame([("and the of",), ("ententeel",), ("thion",)], "label string")
+    words = t("part").select(F.upper("p_brand").alias("label")).union(t("nation").select("n_name")).union(own).distinct()
+    ranked = words.withColumn("list_pos", (F.row_number().over(Window.orderBy(F.md5("label"))) - 1).cast("int"))
+    texts = t("documents").select((F.col("doc_id") * 2).alias("sample_id"), F.col("text").alias("output")).union(
+        t("pages").select(F.col("page_id") * 2 + 1, "html"))
+    return context_match(texts, ranked).select("sample_id", "label")
+
+
 @query("j9_distractor_candidates", """
 select sample_id, len(cand)::int as n_candidates, md5(array_to_string(cand, ',')) as digest
 from (select sample_id, list_filter(names, lambda x: x <> crop_disease_label) as cand

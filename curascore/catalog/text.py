@@ -49,6 +49,26 @@ def _(spark, sf):
     return V.table(spark, sf, "pages").select(F.col("page_id").alias("sample_id"), TX.parse_key_values("html").alias("label"))
 
 
+TEXTS = {"outputs": "select doc_id * 2 as sample_id, text as output, '' as source, '' as crop_disease_label from documents"
+                    " union all select page_id * 2 + 1, html, '', '' from pages"}
+
+
+def _texts(spark, sf):
+    docs, pages = V.table(spark, sf, "documents"), V.table(spark, sf, "pages")
+    return docs.select((F.col("doc_id") * 2).alias("sample_id"), F.col("text").alias("output")).union(
+        pages.select(F.col("page_id") * 2 + 1, "html"))
+
+
+@query("tx1_parse_output_texts", "select sample_id, label, is_fallback from parsed", ("classes",), {**TEXTS, **PARSED})
+def _(spark, sf):
+    return _texts(spark, sf).select("sample_id", TX.parse_output("output").alias("p")).select("sample_id", "p.label", "p.is_fallback")
+
+
+@query("tx3_parse_zero_shot_texts", "select sample_id, label from zero_shot", (), {**TEXTS, **ZERO_SHOT})
+def _(spark, sf):
+    return _texts(spark, sf).select("sample_id", TX.parse_zero_shot("output")["label"].alias("label"))
+
+
 def _with_choices(spark, sf, rows=None):
     vocab = V.classes(spark, sf)
     rows = rows if rows is not None else V.samples(spark, sf)
