@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
@@ -13,7 +14,9 @@ from curascore.operators import probe as PB
 from curascore.operators import runs as R
 from curascore.operators import scoring as S
 from curascore.plans import views as V
+from curascore.session import scratch_path
 from curascore.settings import CHANNEL_MEAN, CHANNEL_STD
+from curascore.sources import heads
 
 
 def _elements(df, vector):
@@ -100,6 +103,16 @@ def _(spark, sf):
     return S.predict_linear(rows, head, unit=True).select("sample_id", "y_true", "y_pred")
 
 
+# What SQL can state about a fit: all rows are predicted, with more hits than the largest class has rows.
+@query("ve7_probe_beats_majority", "select y_true, count(*) as n_rows, true as beats_majority from features group by y_true", ("features",))
+def _(spark, sf):
+    rows = V.features(spark, sf)
+    found = S.predict_linear(rows, PB.head_of(PB.fit_linear_probe(rows), rows), unit=True)
+    counts = found.groupBy("y_true").agg(F.count("*").alias("n_rows"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("hits"))
+    every = Window.partitionBy()  # one row per class
+    return counts.select("y_true", "n_rows", (F.sum("hits").over(every) > F.max("n_rows").over(every)).alias("beats_majority"))
+
+
 @query("ve8_sweep_probe")
 def _(spark, sf):
     rows = V.features(spark, sf)
@@ -107,6 +120,14 @@ def _(spark, sf):
     return table
 
 
+@query("ve8_sweep_has_one_best", "select 3::bigint as n_settings, 1::bigint as n_best, true as best_is_lowest")
+def _(spark, sf):
+    rows = V.features(spark, sf)
+    table, _model = PB.sweep_probe(rows.where("split = 'train'"), rows.where("split = 'validation'"), [1e-4, 1e-3, 1e-2], max_iter=20)
+    return table.agg(F.count("*").alias("n_settings"), F.count_if("is_best").alias("n_best"),
+                     (F.min(F.when(F.col("is_best"), F.col("val_loss"))) == F.min("val_loss")).alias("best_is_lowest"))
+
+
 @query("ve9_pooled_feature", _elements_sql("""(
   select sample_id, case when sample_id % 4 = 0 then list_reverse(features) else features end as v from features) s""", "v"), ("features",))
 def _(spark, sf):
@@ -120,7 +141,10 @@ select width, count(*) as n, width = 64 as fits, 10::int as head_classes from (s
 group by width""",
        ("features",))
 def _(spark, sf):
-    return S.check_dimensions(V.features(spark, sf), V.N_FEATURE_CLASSES, 64)
+    path = scratch_path(spark, "head")
+    heads.save_head(_head(V.features(spark, sf)), path, "feature-table")
+    _weights, meta = heads.load_head(spark, path)
+    return S.check_dimensions(V.features(spark, sf), meta["num_classes"], meta["feature_dim"])
 
 
 @query("ve11_standardize_channels", f"""
