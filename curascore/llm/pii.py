@@ -98,12 +98,17 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     """
     text = F.coalesce("text", F.lit(""))
     scanned = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
-        "doc_id", base_spans(F.col("text")).alias("base"), instances(F.col("text")).alias("tokens"),
+        "doc_id", "text", base_spans(F.col("text")).alias("base"), instances(F.col("text")).alias("tokens"),
         F.when(F.regexp_like("text", F.lit("[0-9]")), F.md5("text")).alias("key"))
-    seed_of = lambda t: F.get(F.filter("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])), F.lit(0))["kind"]
-    tokens = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-                                                      t["patterns"].alias("patterns"), seed_of(t).alias("kind")))
-    rows = stored(scanned.withColumn("tokens", tokens), "personal")
+    def labelled_token(t: Column) -> Column:
+        seed = F.get(F.filter("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])), F.lit(0))
+        # Tokens of one base find are the same instance: the whole find.
+        whole = F.lower(F.substr("text", seed["start"] + 1, seed["end"] - seed["start"]))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.coalesce(whole, t["value"]).alias("value"),
+                        t["patterns"].alias("patterns"), seed["kind"].alias("kind"))
+
+    tokens = F.transform("tokens", labelled_token)
+    rows = stored(scanned.withColumn("tokens", tokens).drop("text"), "personal")
     each = rows.select("key", F.explode("tokens").alias("t")).select("key", "t.*")
     found = bootstrap(each.select(F.explode("patterns").alias("pattern"), "value", "kind"), rounds, min_seeds, min_score)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found")).cast("int") + len(KINDS) - 1
