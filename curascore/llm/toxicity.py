@@ -148,7 +148,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame, discount: float = DISCOUNT) -
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out("doc_id", 5, 0)).join(labels, "doc_id").select("text", "toxic")
+    # Labels grow with the documents: one join strategy at every size.
+    rows = docs.select("doc_id", "text").where(~held_out("doc_id", 5, 0)).join(labels.hint("merge"), "doc_id").select("text", "toxic")
     learn = stored(rows, "labelled")
     found = toxicity(docs, learn)
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
