@@ -4,8 +4,9 @@ From every line on, the fewest lines with at least ``GRAM`` words form a gram. O
 ``WINDOW`` words of each other the one with the least hash is a fingerprint, so two texts that share a run of more than
 ``GRAM + WINDOW`` words share a fingerprint of it. Each occurrence of a fingerprint is joined to the first one (order of
 ids, then of lines), the match is extended line by line both ways, and the later run is deleted. An extension looks no
-further than a run that would hold another fingerprint, which is then deleted in its own right: no pairs of
-occurrences, and rows grow with the lines.
+further than a run that would hold another fingerprint, counted from the gram's first line to the left and from the end
+of its last line to the right; that one is then deleted in its own right: no pairs of occurrences, and rows grow with
+the lines.
 """
 
 from __future__ import annotations
@@ -46,12 +47,14 @@ def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     """Selected grams: ``g`` (hash), place (``o, k, off``), first and last line, and the lines around it."""
     place = Window.partitionBy("o", "k").orderBy("off")
     reach = gram + window
-    here, left, right = place.rangeBetween(0, gram - 1), place.rangeBetween(-reach, -1), place.rangeBetween(gram, gram + reach)
+    here, left, ahead = place.rangeBetween(0, gram - 1), place.rangeBetween(-reach, -1), place.rangeBetween(0, reach)
     at = F.struct("h", "pos")
     grams = lines.select(
         "o", "k", "off", "pos", F.sum("w").over(here).alias("words"), F.collect_list("h").over(here).alias("gram"), F.max("pos").over(here).alias("end"),
-        F.collect_list(at).over(left).alias("left"), F.collect_list(at).over(right).alias("right")).withColumn(
+        F.collect_list(at).over(left).alias("left"), F.collect_list(at).over(ahead).alias("ahead")).withColumn(
         "g", F.when(F.col("words") >= gram, _hash(F.array_join(F.col("gram").cast("array<string>"), ",")))).drop("gram", "words")
+    # What is right of a gram starts at the line after its last one, however long that is.
+    grams = grams.withColumn("ahead", F.lead("ahead").over(place)).withColumn("right", F.coalesce(F.last("ahead").over(here), F.array().cast(grams.schema["ahead"].dataType))).drop("ahead")
     # Rightmost least hash of each window; a gram is kept if some window picks it.
     chosen = grams.withColumn("least", F.min(F.when(F.col("g").isNotNull(), F.struct("g", (-F.col("off")).alias("m")))).over(place.rangeBetween(0, window)))
     picked = F.collect_set("least.m").over(place.rangeBetween(-window, 0))

@@ -169,6 +169,20 @@ def test_line_dedup_passages(make):
         assert got[i]["n_lines"] == len(text.split("\n")) and got[i]["n_chars"] == len(text)
 
 
+def test_line_dedup_past_long_lines(make):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    runs = [[line(120), line(20)], [line(30), line(70), line(15), line(15)], [line(12), line(200), line(1), line(25), line(9)], [line(39), line(400), "", line(30)]]
+    rows = []
+    for i, run in enumerate(runs):
+        rows += [(2 * i, "\n".join([line(25), *run, line(25)]), "en", "a"), (2 * i + 1, "\n".join([line(25), *run, line(25)]), "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(make(rows)).collect()}
+    for i, run in enumerate(runs):
+        text = rows[2 * i + 1][1].split("\n")
+        assert got[2 * i] == rows[2 * i][1]
+        assert got[2 * i + 1] == "\n".join([text[0], text[-1]]), len(run)
+
+
 def test_line_dedup_odd_rows(make):
     rows = ODD + [(8, "\n".join(["again and again"] * 100), "en", "a"), (9, "a\n" * 5, "en", "a")]
     docs = make(rows)
