@@ -3,7 +3,9 @@
 Texts become vectors of hashed byte 2- and 3-grams with logarithmic counts, weighted by inverse document frequency over
 all labelled rows and normalised. Each language has several centroids: a bounded sample gives the starting points,
 then all labelled rows are assigned and averaged. A text gets the language of the centroid with the largest cosine; it
-is rejected if even that one is much further away than labelled rows of the language are.
+is rejected if even that one is further away than labelled rows of the language are. Cosines grow with the length, so
+the bar is set for each language and length: where nearly all labelled rows of other languages stay below, but never so
+high that more than a small share of the language's own rows would.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ CENTROIDS = 4  # per language
 SAMPLE = 1_024  # labelled rows, over all languages, that the starting points are found on
 MAX_LANGUAGES = 512  # bounds the model; more learned values raise an error
 BINS = 256
-TAIL = 0.001  # share of labelled rows in the low end of the cosines
-SLACK = 0.3  # rejected below this part of the cosine at that end
+LENGTHS = 16  # bars by the power of two of the bytes
+OWN_BELOW = 0.005  # share of a language's own labelled rows that its bar may reject
+OTHERS_BELOW = 0.99  # share of other languages' labelled rows that a bar need not exceed
+ENOUGH = 200  # own rows behind a bar; the next lengths on both sides join until there are so many
 DOCS = 256  # texts that are dense at a time
 
 
@@ -87,30 +91,77 @@ def start_points(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def _assign(batches, shared):
-    """Sums of the vectors of each centroid, and per language a histogram of the cosine to the nearest of its own."""
+    """Sums of the vectors of the centroid of its own language that each row is nearest to."""
     names, idf, points, owner = shared.value
     index = {x: i for i, x in enumerate(names)}
     total = np.zeros((len(points), WIDTH))
-    seen = np.zeros((len(names), BINS))
     for batch in batches:
         texts, langs = byte_texts(batch.column("text")), batch.column("lang").to_pylist()
         for a, b in pieces(texts):
             made = vectors(texts[a:b], idf)
             lang = np.array([index[x] for x in langs[a:b]])
-            cosine = np.where(owner[None] == lang[:, None], made @ points.T, -1)
-            nearest = cosine.argmax(1)
+            nearest = np.where(owner[None] == lang[:, None], made @ points.T, -1).argmax(1)
             pick = np.zeros((len(made), len(points)), np.float32)
             pick[np.arange(len(made)), nearest] = 1
             total += pick.T @ made
-            np.add.at(seen, (lang, np.clip(cosine.max(1) * BINS, 0, BINS - 1).astype(int)), 1)
     parts = [(c, np.arange(WIDTH), total[c]) for c in range(len(points)) if total[c].any()]
-    parts += [(len(points) + i, np.arange(BINS), seen[i]) for i in range(len(names)) if seen[i].any()]
     if parts:
         yield sums.rows(parts, TaskContext.get().partitionId())
 
 
+def length_class(texts: list[bytes]) -> np.ndarray:
+    return np.array([min(max(len(t).bit_length() - 1, 0), LENGTHS - 1) for t in texts], np.int64)
+
+
+def _cosines(batches, shared):
+    """Per language and length, histograms of the cosine to its nearest centroid: of its own rows and of all others.
+
+    A row's own centroid is taken without the row, so few rows do not look nearer than unseen texts are.
+    """
+    names, idf, points, owner, size = shared.value
+    index = {x: i for i, x in enumerate(names)}
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    seen = np.zeros((len(names), LENGTHS * BINS, 2))
+    for batch in batches:
+        texts, langs = byte_texts(batch.column("text")), batch.column("lang").to_pylist()
+        for a, b in pieces(texts):
+            cosine = (vectors(texts[a:b], idf) @ points.T).astype(np.float64)
+            lang = np.array([index[x] for x in langs[a:b]])
+            row, own = np.arange(b - a), np.where(owner[None] == lang[:, None], cosine, -1).argmax(1)
+            part = size[own] * cosine[row, own]
+            left = np.sqrt(np.maximum(size[own] ** 2 - 2 * part + 1, 0))
+            cosine[row, own] = np.where(left > 1e-3, (part - 1) / np.maximum(left, 1e-3), 0)
+            best = np.maximum.reduceat(cosine, start, axis=1)
+            at = length_class(texts[a:b])[:, None] * BINS + np.clip(best * BINS, 0, BINS - 1).astype(int)
+            each = np.arange(len(names))[None]
+            other = (lang[:, None] != each).astype(int)
+            np.add.at(seen, (np.broadcast_to(each, at.shape), at, other), 1)
+    parts = [(i, at, seen[i, at]) for i in range(len(names)) if len(at := np.flatnonzero(seen[i].any(1)))]
+    if parts:
+        yield sums.rows(parts, TaskContext.get().partitionId())
+
+
+def bars(seen: np.ndarray) -> np.ndarray:
+    """Least cosine that is not rejected, per language and length, from counts ``(language, length, bin, own or other)``."""
+    out = np.zeros(seen.shape[:2])
+    every = seen.sum(0)
+    for i, of in enumerate(seen):
+        if of[:, :, 0].sum() < ENOUGH:  # too few to tell a share: what all languages' rows have to their own
+            of = np.stack([every[:, :, 0], of[:, :, 1]], 2)
+        rows = of[:, :, 0].sum(1)
+        for k in range(LENGTHS):
+            low, high = k, k + 1
+            while rows[low:high].sum() < ENOUGH and (low > 0 or high < LENGTHS):
+                low, high = max(low - 1, 0), min(high + 1, LENGTHS)
+            own, other = of[low:high].sum(0).cumsum(0).T
+            out[i, k] = (own > OWN_BELOW * own[-1]).argmax() / BINS
+            if other[-1]:
+                out[i, k] = min(out[i, k], ((other >= OTHERS_BELOW * other[-1]).argmax() + 1) / BINS)
+    return out
+
+
 class Model:
-    """Names, gram weights, centroids with their language, and the least cosine that is not rejected per language."""
+    """Names, gram weights, centroids with their language, and the least cosine not rejected per language and length."""
 
     def __init__(self, names, idf, points, owner, least):
         self.names, self.idf, self.points, self.owner, self.least = names, idf, points, owner, least
@@ -161,12 +212,12 @@ def fit(labelled: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model
         owner += [i] * len(own)
     points, owner = np.concatenate(points), np.array(owner)
     shared = spark.sparkContext.broadcast((names, idf, points, owner))
-    total = sums.collected(sums.add_up(rows.mapInArrow(lambda x: _assign(x, shared), sums.SCHEMA), 1), 1, len(points) + len(names), WIDTH)[:, :, 0]
-    mean = total[: len(points)]
+    mean = sums.collected(sums.add_up(rows.mapInArrow(lambda x: _assign(x, shared), sums.SCHEMA), 1), 1, len(points), WIDTH)[:, :, 0]
     size = np.linalg.norm(mean, axis=1, keepdims=True)
     points = np.where(size > 0, mean / np.maximum(size, 1e-12), points).astype(np.float32)
-    share_below = np.cumsum(total[len(points):, :BINS], 1) / np.maximum(total[len(points):, :BINS].sum(1, keepdims=True), 1)
-    least = SLACK * (share_below > TAIL).argmax(1) / BINS
+    final = spark.sparkContext.broadcast((names, idf, points, owner, size[:, 0]))
+    seen = sums.collected(sums.add_up(rows.mapInArrow(lambda x: _cosines(x, final), sums.SCHEMA), 2), 2, len(names), LENGTHS * BINS)
+    least = bars(seen.reshape(len(names), LENGTHS, BINS, 2))
     return Model(names, idf, points, owner, least)
 
 
@@ -187,8 +238,9 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def guess(text: pa.Array) -> pa.Array:
         m = shared.value
-        lang, score = m.predict(byte_texts(text))
-        return pa.StructArray.from_arrays([pa.array([m.names[i] for i in lang], pa.string()), pa.array(score), pa.array(score < m.least[lang])],
+        texts = byte_texts(text)
+        lang, score = m.predict(texts)
+        return pa.StructArray.from_arrays([pa.array([m.names[i] for i in lang], pa.string()), pa.array(score), pa.array(score < m.least[lang, length_class(texts)])],
                                           names=["lang_pred", "score", "rejected"])
 
     lettered = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))

@@ -179,6 +179,21 @@ def test_language_held_out(spark, make):
     assert {r["lang_pred"] for r in identify(docs, make([]).select("text", "lang")).collect()} == {"und"}
 
 
+def test_language_rejects_unlearned(spark, make):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and text rlike '[a-zA-Z]'")
+    odd = ["การประมวลผลภาษาธรรมชาติเป็นสาขาหนึ่งของวิทยาการคอมพิวเตอร์ " * 6, "自然语言处理是计算机科学领域与人工智能领域中的一个重要方向。" * 6,
+           "Обработка естественного языка является важным направлением. " * 6, "a" * 400, rng.randbytes(200).hex(),
+           "".join(rng.choice(letters) for _ in range(400)), " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(80))]
+    asked = make([(-1 - i, t, None, "a") for i, t in enumerate(odd)]).select("doc_id", "text").union(docs.where("doc_id % 4 = 0").select("doc_id", "text"))
+    got = identify(asked, docs.where("doc_id % 4 <> 0").select("text", "lang")).collect()
+    kept = [r["doc_id"] for r in got if r["doc_id"] < 0 and not r["rejected"]]
+    assert not kept
+    clean = [r["rejected"] for r in got if r["doc_id"] >= 0]
+    assert len(clean) > 200 and np.mean(clean) <= 0.02
+
+
 def test_toxicity_held_out(spark, make):
     rng = random.Random(2)
     common = [f"w{i}" for i in range(400)]
