@@ -112,10 +112,12 @@ x as (select o, k, unnest(string_split(t, chr(10))) as raw, unnest(range(len(str
 t as (select o, k, pos, regexp_replace(raw, '^{_BLANK}+|{_BLANK}+$', '', 'g') as line from x),
 l0 as (select o, k, pos, ('0x' || substr(md5(line), 1, 15))::bigint as h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))::bigint as w from t where line <> ''),
 l as (select *, coalesce(sum(w) over (partition by o, k order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as off from l0),
-g0 as (select *, sum(w) over here as words, list(h) over here as gram, max(pos) over here as e,
+g1 as (select *, sum(w) over here as words, list(h) over here as gram, max(pos) over here as e,
     list({{'h': h, 'pos': pos}}) over (partition by o, k order by off range between {REACH} preceding and 1 preceding) as lf,
-    list({{'h': h, 'pos': pos}}) over (partition by o, k order by off range between {GRAM} following and {GRAM + REACH} following) as rt
+    list({{'h': h, 'pos': pos}}) over (partition by o, k order by off range between current row and {REACH} following) as ahead
   from l window here as (partition by o, k order by off range between current row and {GRAM - 1} following)),
+g2 as (select *, lead(ahead) over (partition by o, k order by off) as nxt from g1),
+g0 as (select * exclude (nxt), last(nxt) over (partition by o, k order by off range between current row and {GRAM - 1} following) as rt from g2),
 g as (select o, k, off, pos, e, coalesce(lf, []) as lf, coalesce(rt, []) as rt,
     case when words >= {GRAM} then ('0x' || substr(md5(array_to_string(gram, ',')), 1, 15))::bigint end as g from g0),
 c as (select o, k, unnest([min(case when g is not null then {{'g': g, 'm': -off}} end) over (partition by o, k order by off range between current row and {WINDOW} following)]) as least from g),

@@ -107,8 +107,8 @@ k as (select *, case when source_size > 0 then floor(target / source_size)::bigi
 n as (select *, case when passes < 3 then target - passes * source_size else 0 end as need from k),
 e as (select s.*, source_size, target, passes, need, sum(size) over (partition by sk order by h, doc_id, size rows unbounded preceding) as cum from s join n using (sk)),
 f as (select sk, min(h) as edge from e where need > 0 and cum > need group by sk),
-o as (select sk, edge, floor((any_value(need) - (sum(size) filter (h < edge))) * count(*) filter (h = edge) / sum(size) filter (h = edge) + 0.5) as ties
-    from (select * from e join f using (sk) union all select sk, doc_id, 0, edge - 1, source_size, target, passes, need, cum, edge from e join f using (sk) where h = edge) group by sk, edge)
+o as (select sk, edge, floor((any_value(need) - coalesce(sum(size) filter (h < edge), 0)) * count(*) filter (h = edge) / sum(size) filter (h = edge) + 0.5) as ties
+    from e join f using (sk) group by sk, edge)
 select doc_id, size, source_size, target, size * (passes + case when h < edge then 1 when h = edge and rn <= ties then 1 else 0 end)::bigint as taken
 from (select e.*, row_number() over (partition by sk, h order by doc_id, size) as rn from e) left join o using (sk)"""
 

@@ -228,6 +228,7 @@ def test_neighbours_recall_and_ties(spark):
     assert nearest_neighbours(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 @pytest.mark.parametrize("name", sorted(k for k, q in REGISTRY.items() if q.sql))
-def test_query_equals_sql(spark, name):
-    assert compare(REGISTRY[name].run(spark, SF).toArrow(), duck(SF).sql(REGISTRY[name].sql).to_arrow_table()) == []
+def test_query_equals_sql(spark, name, sf):
+    assert compare(REGISTRY[name].run(spark, sf).toArrow(), duck(sf).sql(REGISTRY[name].sql).to_arrow_table()) == []
