@@ -1,6 +1,8 @@
 """All registered queries of the subpackage."""
 
-from curascore.llm import ann, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, secrets, token_counts, toxicity  # noqa: F401  (modules register on import)
+from curascore.llm import (  # noqa: F401  (modules register on import)
+    ann, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, secrets, token_counts, toxicity, whitening,
+)
 from curascore.llm.base import REGISTRY
 
 __all__ = ["REGISTRY"]
