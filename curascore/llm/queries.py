@@ -1,7 +1,7 @@
 """All registered queries of the subpackage."""
 
 from curascore.llm import (  # noqa: F401  (modules register on import)
-    ann, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, secrets, token_counts, toxicity, whitening,
+    ann, decontaminate, interpolation, jaccard_join, language_id, line_dedup, mixing, pii, prefix_trie, secrets, token_counts, toxicity, whitening,
 )
 from curascore.llm.base import REGISTRY
 
