@@ -23,7 +23,7 @@ SAMPLE_COLUMNS = "sample_id, crop, disease, source, split, crop_disease_label"
 
 
 def positioned(spark, sf):
-    return P.positions(V.samples(spark, sf), ORDER)
+    return P.positions(V.samples(spark, sf), ORDER, row_id="sample_id")
 
 
 def vocab_with_failure(spark, sf) -> Dimension:
@@ -61,7 +61,7 @@ def _(spark, sf):
 
 @query("pf5_slice_by_position", f"select {SAMPLE_COLUMNS}, pos from positioned where pos >= 1324 and pos < 1370", ("positioned",))
 def _(spark, sf):
-    return P.slice_by_position(positioned(spark, sf), 1324, 1370)
+    return P.rank_range(V.samples(spark, sf), ORDER, 1324, 1370)
 
 
 _SPLIT_POS = """select *, row_number() over (partition by split order by crop_disease_label, sample_id) - 1 as spos from samples"""
@@ -90,7 +90,7 @@ def _(spark, sf):
 
 @query("pf8_row_at", f"select {SAMPLE_COLUMNS}, pos from positioned where pos = 1366", ("positioned",))
 def _(spark, sf):
-    return P.row_at(positioned(spark, sf), 1366)
+    return P.rank_range(V.samples(spark, sf), ORDER, 1366, 1367)
 
 
 @query("pf9_first_row_for_label", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
-from curascore.catalog.labels import positioned, vocab_with_failure
+from curascore.catalog.labels import ORDER, vocab_with_failure
 from curascore.catalog.sqltext import (
     CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES, confusion_sql, macro_sql, per_class_sql,
 )
@@ -96,7 +96,7 @@ union all select 'total', count(*) from sliced""", ("positioned", "predictions")
     " where s.pos >= 1324 and s.pos < 1370"})
 def _(spark, sf):
     vocab = V.classes(spark, sf)
-    picked = P.slice_by_position(positioned(spark, sf), 1324, 1370).select("sample_id")
+    picked = P.rank_range(V.samples(spark, sf), ORDER, 1324, 1370).select("sample_id")
     preds = V.shape_predictions(V.labelled(spark, sf, vocab)).join(picked, "sample_id", "left_semi")
     return M.outcome_tally(decode_labels(preds, vocab, "y_pred"), _TALLY)
 

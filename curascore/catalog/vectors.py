@@ -91,7 +91,10 @@ select (pos // 64) as batch, count(*) as n, round(avg(loss), 6) as mean_loss fro
     ln(sum(exp(l.score - p.top))) + p.top - max(case when l.class_id = p.y_true then l.score end) as loss
   from linear l join peak p on l.sample_id = p.sample_id group by p.sample_id, p.top) x group by 1""", ("features",), _SOFTMAX)
 def _(spark, sf):
-    rows = P.assign_batches(P.positions(_logits(spark, sf).select("sample_id", "y_true", "logits"), ["sample_id"]), 64)
+    # Ids are numbered on their own; vectors join the batches, and logits exist only after that.
+    rows = V.features(spark, sf)
+    placed = P.assign_batches(P.positions(rows.select("sample_id", "y_true", "features"), ["sample_id"], row_id="sample_id"), 64)
+    rows = S.with_logits(placed, _head(rows))
     loss = VE.cross_entropy("logits", "y_true")
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("mean_loss"))
 
@@ -168,7 +171,7 @@ def _(spark, sf):
 @query("sw6_argmax", f"select sample_id, y_pred, score from ({_BEST.format(src='linear')}) b", ("features",), {**PROTOTYPES, **LINEAR})
 def _(spark, sf):
     rows = V.features(spark, sf)
-    return S.argmax(S.linear_scores(rows, _head(rows)))
+    return S.argmax(S.score_arrays(rows, _head(rows)))
 
 
 @query("sw6_predict_linear", f"select sample_id, y_pred, score from ({_BEST.format(src='linear')}) b", ("features",), {**PROTOTYPES, **LINEAR})

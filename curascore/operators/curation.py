@@ -23,7 +23,7 @@ MARGIN_ROWS = 50
 def seeded_shuffle(df: DataFrame, seed: int, row_id: str = "sample_id", name: str = "pos") -> DataFrame:
     """Reproducible random order, as an explicit position."""
     keyed = df.withColumn("_key", seed_key(seed, row_id))
-    return positions(keyed, ["_key", row_id], name).drop("_key")
+    return positions(keyed, ["_key", row_id], name, row_id=row_id).drop("_key")
 
 
 def first_n(df: DataFrame, n: int, seed: int, row_id: str = "sample_id", name: str = "pos") -> DataFrame:

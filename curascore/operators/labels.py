@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curascore.functions.text import compose_label
 from curascore.operators.lookup import Dimension, bounded, lookup_join
-from curascore.operators.positions import positions
+from curascore.operators.positions import positions, segmented_positions
 from curascore.settings import FALSE_PARSE, FALSE_PARSE_ID, LAB, MAIN
 
 
@@ -56,11 +56,12 @@ def dense_label_ids(df: DataFrame, label: str = "crop_disease_label", per_split:
     ``per_split`` numbers each split on its own, so ids shift where a split misses a class.
     """
     keys = ["split"] if per_split else []
-    distinct = df.select(*keys, F.col(label).alias("label")).distinct()
+    table = bounded(df.select(*keys, F.col(label).alias("label")).distinct())
     if per_split:
-        rank = F.row_number().over(Window.partitionBy("split").orderBy("label"))
-        return distinct.select("split", "label", (rank - 1).alias("class_id"))
-    table = bounded(distinct)
+        if not table.is_small:
+            return segmented_positions(table.frame, keys, ["label"], "class_id").withColumn("class_id", F.col("class_id").cast("int"))
+        rank = F.row_number().over(Window.partitionBy("split").orderBy("label"))  # proven small above
+        return table.frame.select("split", "label", (rank - 1).alias("class_id"))
     if not table.is_small:
         return positions(table.frame, ["label"], "class_id").withColumn("class_id", F.col("class_id").cast("int"))
     rank = F.row_number().over(Window.orderBy("label"))  # proven small above

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curascore.functions.lets import let
 from curascore.functions.vectors import best_in_block, l2_normalize, matrix_scores, softmax
+from curascore.operators.class_stream import All, Best, PerBlock, against_classes, array_scores, packed_classes
 from curascore.operators.lookup import Dimension, bounded
-from curascore.session import scratch_path
 from curascore.settings import TOP_K
 
-BLOCK_BYTES = 32 * 1024 * 1024  # one class block is shipped with its task
+BLOCK_BYTES = 32 * 1024 * 1024  # a class table up to this size is shipped with its task
 
 
 def class_prototypes(df: DataFrame, class_id: str = "y_true", features: str = "features") -> DataFrame:
@@ -40,78 +37,69 @@ def _as_arrays(rows: pa.Table, vector: str, bias: str | None) -> tuple[np.ndarra
     return rows["class_id"].to_numpy().astype(np.int32), weights, shift
 
 
-def _class_blocks(table: DataFrame | Dimension, vector: str, bias: str | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(ids, weights, bias) per block of classes in id order, each block within ``BLOCK_BYTES``.
-
-    One block is the usual case. A larger class table is written once and then read one block at a time.
-    """
+def _small(table: DataFrame | Dimension, vector: str, bias: str | None) -> tuple[Dimension, tuple[np.ndarray, np.ndarray, np.ndarray | None] | None]:
+    """The class table, and its (ids, weights, bias) where it is proven small enough to be shipped with every task."""
     dim = bounded(table, max_bytes=BLOCK_BYTES)
-    if dim.is_small:
-        if not dim.rows.num_rows:
-            raise ValueError("no classes to score against")
-        yield _as_arrays(dim.rows, vector, bias)
-        return
-    spark = dim.frame.sparkSession
-    path = scratch_path(spark, "classes")
-    dim.frame.select("class_id", vector, *([bias] if bias else [])).write.parquet(path)
-    stored = spark.read.parquet(path)
-    shape = stored.agg(F.max(F.size(vector)).alias("d"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).first()
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, shape["d"])))
-    for start in range(shape["lo"], shape["hi"] + 1, per_block):
-        # Ids are unique, so a range of per_block ids holds at most per_block rows.
-        rows = stored.where((F.col("class_id") >= start) & (F.col("class_id") < start + per_block)).toArrow()
-        if rows.num_rows:
-            yield _as_arrays(rows, vector, bias)
+    if dim.is_small and not dim.rows.num_rows:
+        raise ValueError("no classes to score against")
+    return dim, _as_arrays(dim.rows, vector, bias) if dim.is_small else None
 
 
 def _best_class(df: DataFrame, table: DataFrame | Dimension, vector: str, bias: str | None, features: str, unit: bool) -> DataFrame:
-    best: Column | None = None
-    for ids, weights, shift in _class_blocks(table, vector, bias):
-        block = best_in_block(features, weights, ids, shift, unit)
-        # Blocks come in id order, so an equal score keeps the earlier (lower) id.
-        best = block if best is None else let(
-            F.struct(best.alias("a"), block.alias("b")),
-            lambda p: F.when(p["b"]["score"] > p["a"]["score"], p["b"]).otherwise(p["a"]),
-        )
+    dim, small = _small(table, vector, bias)
+    if small is None:
+        return against_classes(df, packed_classes(dim.frame, vector, bias), Best(), features, unit)
+    ids, weights, shift = small
+    best = best_in_block(features, weights, ids, shift, unit)
     return df.withColumn("_best", best).select("*", F.col("_best.score").alias("score"), F.col("_best.class_id").alias("y_pred")).drop("_best")
 
 
 def nearest_prototype(df: DataFrame, prototypes: DataFrame | Dimension, features: str = "features") -> DataFrame:
-    """Add ``score`` (cosine, 6 decimals) and ``y_pred``; samples are not shuffled.
+    """Add ``score`` (cosine, 6 decimals) and ``y_pred``; the lowest id wins a tie.
 
-    Prototypes are reduced to a few numbers per class and shipped in blocks of bounded size, so any number of
-    classes works; the best class is carried from block to block.
+    A class table that is proven small is shipped and samples are not shuffled. A larger one streams past chunks of
+    samples in blocks, each task keeping the best class so far.
     """
     return _best_class(df, prototypes, "prototype", None, features, unit=True)
 
 
+def score_arrays(df: DataFrame, table: DataFrame | Dimension, features: str = "features", row_id: str = "sample_id", vector: str = "weights",
+                 bias: str | None = "bias", unit: bool = False) -> DataFrame:
+    """``(row_id, class_ids, scores)``: all scores of a sample as arrays, in one row or, past the bound, one per block of classes."""
+    dim, small = _small(table, vector, bias)
+    if small is None:
+        return against_classes(df, packed_classes(dim.frame, vector, bias), PerBlock(), features, unit, [row_id])
+    ids, weights, shift = small
+    names = F.array(*[F.lit(int(i)) for i in ids])
+    return df.select(row_id, matrix_scores(features, weights, shift, unit).alias("scores")).select(
+        row_id, F.when(F.col("scores").isNotNull(), names).alias("class_ids"), "scores")
+
+
+def _pairs(arrays: DataFrame, row_id: str) -> DataFrame:
+    return arrays.select(row_id, F.explode(array_scores("class_ids", "scores")).alias("_s")).select(row_id, "_s.class_id", "_s.score")
+
+
 def score_pairs(df: DataFrame, prototypes: DataFrame | Dimension, features: str = "features", row_id: str = "sample_id") -> DataFrame:
-    """Cosine of every sample with every prototype, as (row_id, class_id, score)."""
-    return _long_scores(df, prototypes, "prototype", None, features, row_id, unit=True)
+    """Cosine of every sample with every prototype, as (row_id, class_id, score); arrays until they are written out."""
+    return _pairs(score_arrays(df, prototypes, features, row_id, "prototype", None, unit=True), row_id)
 
 
 def linear_scores(df: DataFrame, head: DataFrame | Dimension, features: str = "features", row_id: str = "sample_id") -> DataFrame:
     """``W x + b`` for every class, as (row_id, class_id, score)."""
-    return _long_scores(df, head, "weights", "bias", features, row_id, unit=False)
-
-
-def _long_scores(df: DataFrame, table: DataFrame | Dimension, vector: str, bias: str | None, features: str, row_id: str, unit: bool) -> DataFrame:
-    parts = []
-    for ids, weights, shift in _class_blocks(table, vector, bias):
-        names = F.array(*[F.lit(int(i)) for i in ids])
-        scores = matrix_scores(features, weights, shift, unit)
-        pairs = df.select(row_id, F.explode(F.arrays_zip(names.alias("class_id"), scores.alias("score"))).alias("_s"))
-        parts.append(pairs.select(row_id, "_s.class_id", "_s.score"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _pairs(score_arrays(df, head, features, row_id), row_id)
 
 
 def with_logits(df: DataFrame, head: DataFrame | Dimension, features: str = "features", name: str = "logits", unit: bool = False) -> DataFrame:
-    """Add the scores of all classes as one array in id order (ids must be 0..n-1)."""
-    parts = [matrix_scores(features, w, b, unit) for _, w, b in _class_blocks(head, "weights", "bias")]
-    return df.withColumn(name, parts[0] if len(parts) == 1 else F.concat(*parts))
+    """Add the scores of all classes as one array in id order; ids must be 0..n-1, others are an error."""
+    dim, small = _small(head, "weights", "bias")
+    if small is None:
+        blocks = packed_classes(dim.frame, "weights", "bias")
+        n = blocks.agg(F.sum(F.octet_length("_ids") / 8).cast("long").alias("n")).first()["n"]
+        return against_classes(df, blocks, All(n or 0, name), features, unit)
+    ids, weights, shift = small
+    if ids.tolist() != list(range(len(ids))):
+        raise ValueError(f"class ids must be 0..{len(ids) - 1}")
+    return df.withColumn(name, matrix_scores(features, weights, shift, unit))
 
 
 def predict_linear(df: DataFrame, head: DataFrame | Dimension, features: str = "features", unit: bool = False) -> DataFrame:
@@ -142,11 +130,17 @@ def top_k(df: DataFrame, k: int = TOP_K, scores: str = "logits", row_id: str = "
 
 
 def argmax(scores: DataFrame, row_id: str = "sample_id", decimals: int = 6) -> DataFrame:
-    """Best class per sample from long scores; lowest id on ties."""
-    return scores.groupBy(row_id).agg(
-        F.max_by(F.struct("class_id", F.round("score", decimals).alias("score")),
-                 F.struct(F.round("score", decimals).alias("s"), (-F.col("class_id")).alias("c"))).alias("_b")
-    ).select(row_id, F.col("_b.class_id").alias("y_pred"), F.col("_b.score").alias("score"))
+    """Best class per sample; lowest id on ties.
+
+    From score arrays the best of each array is found within its row, so a sample is shuffled once per block of
+    classes, not once per class. Long scores (row_id, class_id, score) are taken as well.
+    """
+    if "scores" in scores.columns:
+        pick = F.transform(array_scores("class_ids", "scores"), lambda x: F.struct(F.round(x["score"], decimals).alias("s"), (-x["class_id"]).alias("c")))
+        best = scores.where(F.col("scores").isNotNull()).select(row_id, F.array_max(pick).alias("_b"))
+    else:
+        best = scores.select(row_id, F.struct(F.round("score", decimals).alias("s"), (-F.col("class_id")).alias("c")).alias("_b"))
+    return best.groupBy(row_id).agg(F.max("_b").alias("_b")).select(row_id, (-F.col("_b.c")).alias("y_pred"), F.col("_b.s").alias("score"))
 
 
 def check_dimensions(df: DataFrame, n_classes: int, width: int, features: str = "features") -> DataFrame:
