@@ -1,6 +1,6 @@
 """Deleted interpolation: n-gram maximum-likelihood estimates mixed by context-frequency buckets.
 
-1. Texts become token streams (words and one end), packed in blocks of some millions of tokens that are written once.
+1. Texts become token streams (words and one end), packed in blocks of about a million tokens that are written once.
    A block sends each of its distinct n-grams of every order once, with its count among the texts to learn from, to the
    part of the hash range that the n-gram belongs to. However frequent an n-gram is, a part hears of it once per block.
 2. A part adds up the counts and answers each block in the order of its question. Blocks and answers meet, so that each
@@ -28,8 +28,8 @@ from curascore.llm import sums
 from curascore.llm.base import query, stored, table
 from curascore.llm.words import Words, blank_separated, byte_texts, chunks, lowered, mix
 
-ORDER = 3
-BLOCK_TOKENS = 2_000_000
+ORDER = 2  # of the registered query; each further order ships about six bytes per token once more
+BLOCK_TOKENS = 1_000_000
 PART_BYTES = 24_000_000  # bytes of text whose n-grams form one part, on average
 BUCKETS = 40  # powers of two of a context's count
 GRID = 8  # cells of the logarithmic grid per power of two

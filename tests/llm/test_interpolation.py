@@ -111,7 +111,7 @@ def sentences(seed, n):
              rng.random() < 0.2 or None) for i in range(n)]
 
 
-@pytest.mark.parametrize("order, block", [(1, 2_000_000), (2, 500), (3, 500), (3, 2_000_000)])
+@pytest.mark.parametrize("order, block", [(1, 1_000_000), (2, 500), (3, 500), (3, 1_000_000)])
 def test_equals_dictionaries(spark, monkeypatch, order, block):
     monkeypatch.setattr(interpolation, "BLOCK_TOKENS", block)
     monkeypatch.setattr(interpolation, "PART_BYTES", 4_000)
