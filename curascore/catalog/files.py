@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
 from curascore.catalog.curation import BALANCE, RANKED, SAMPLE_COLUMNS
-from curascore.catalog.labels import vocab_with_failure
-from curascore.catalog.metrics import WIDE, _QUALITY, rounded
-from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PROTOTYPES
+from curascore.catalog.labels import per_class_wide_sql, rounded_table, vocab_with_failure
+from curascore.catalog.metrics import _QUALITY, _TEXT, WIDE, rounded, text_matrix_sql
+from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PROTOTYPES, confusion_sql, per_class_sql
 from curascore.catalog.text import quoted
 from curascore.catalog.vectors import _head
 from curascore.operators import labels as L
 from curascore.operators import metrics as M
+from curascore.operators.lookup import bounded
 from curascore.plans import curate, text_eval
 from curascore.plans import views as V
 from curascore.session import scratch_path
-from curascore.settings import QUESTION, TRAIN_SYSTEM
+from curascore.settings import EVALUATION_SEED, QUESTION, TRAIN_SYSTEM, VIEWS
 from curascore.sources import heads, readers, writers
 from curascore.streaming import evaluation as ST
 
@@ -70,12 +71,17 @@ def _(spark, sf):
     return readers.read_outputs_csv(spark, _outputs_csv(spark, sf))
 
 
-@query("io4_read_matrix_csv", "select * exclude (view) from wide where view = 'main'", ("predictions",), {**CONFUSION, **WIDE})
+@query("io4_read_matrix_csv", "select * from wide", ("predictions",), {**CONFUSION, **WIDE})
 def _(spark, sf):
-    matrix = M.confusion_matrix(M.confusion_long(V.predictions(spark, sf)), V.N_CLASSES).where("view = 'main'")
-    path = scratch_path(spark, "matrix")
-    writers.write_matrix_csv(matrix, path, V.N_CLASSES)
-    return readers.read_matrix_csv(spark, path, V.N_CLASSES).withColumn("y_true", F.col("y_true").cast("int"))
+    # One file per view, as the matrices are published.
+    matrix = M.confusion_matrix(M.confusion_long(V.predictions(spark, sf)), V.N_CLASSES)
+    parts = []
+    for view in VIEWS:
+        path = scratch_path(spark, f"matrix-{view}")
+        writers.write_matrix_csv(matrix.where(F.col("view") == view), path, V.N_CLASSES)
+        read = readers.read_matrix_csv(spark, path, V.N_CLASSES)
+        parts.append(read.select(F.lit(view).alias("view"), F.col("y_true").cast("int").alias("y_true"), *[f"p{i}" for i in range(V.N_CLASSES)]))
+    return L.concat(*parts)
 
 
 @query("io5_write_csv", """
@@ -107,12 +113,20 @@ def _(spark, sf):
     return files.select(F.substring_index("path", "/", -1).alias("file"), "length")
 
 
+def _report(spark, sf, name):
+    """A table of the report as it was written and read back."""
+    tables = text_eval.report_tables(V.outputs(spark, sf), vocab_with_failure(spark, sf))
+    return spark.read.parquet(writers.write_report({name: tables[name]}, scratch_path(spark, "report"))[name])
+
+
 @query("io8_write_report", f"""
 select 'summary' as table_name, count(distinct view) as n_rows from cv
-union all select 'per_class', count(distinct c) from (select y_pred as c from coded where y_pred is not null
-  union all select t.class_id from coded c join vocab t on c.crop_disease_label = t.label where y_pred is not null) x
+union all select 'per_class', count(*) from vocab
+union all select 'matrix', 3 * count(*) from vocab
 union all select 'failed_outputs', count(*) from coded where label = 'false_parse'
-union all select 'parse_samples', least(100, count(*)) from coded""", PARSED_VIEWS, {**PARSED, **_QUALITY})
+union all select 'parse_samples', least(100, count(*)) from coded
+union all select 'unknown_labels', count(distinct crop_disease_label) from coded where crop_disease_label not in (select label from vocab)""",
+       PARSED_VIEWS, {**PARSED, **_QUALITY})
 def _(spark, sf):
     tables = text_eval.report_tables(V.outputs(spark, sf), vocab_with_failure(spark, sf))
     written = writers.write_report(tables, scratch_path(spark, "report"))
@@ -120,6 +134,34 @@ def _(spark, sf):
     return L.concat(*counts)
 
 
+@query("io8_report_per_class", per_class_wide_sql(names="vocab"), PARSED_VIEWS, {**_TEXT, **confusion_sql("judged"), **per_class_sql()})
+def _(spark, sf):
+    return rounded_table(_report(spark, sf, "per_class"), "class_id", "label")
+
+
+@query("io8_report_matrix", text_matrix_sql(), PARSED_VIEWS, {**_TEXT, **confusion_sql("judged")})
+def _(spark, sf):
+    return _report(spark, sf, "matrix")
+
+
+@query("io8_report_parse_samples", f"""
+select row_number() over (order by md5(concat('{EVALUATION_SEED}:', sample_id::varchar)), sample_id) - 1 as pos, y_true::int as y_true,
+  '''' || replace(output, chr(10), '\\n') || '''' as parsed_output
+from (select p.sample_id, t.class_id as y_true, p.output from parsed p join vocab t on p.crop_disease_label = t.label) x
+qualify pos < 100""", PARSED_VIEWS, PARSED)
+def _(spark, sf):
+    return _report(spark, sf, "parse_samples")
+
+
+# True labels of which some are unknown: the vocabulary leaves out every seventh class.
+@query("io8_report_unknown_labels", """
+select label, count(*) as n from (select crop_disease_label as label from outputs) o
+where label in (select label from classes where class_id % 7 = 3) group by label""", PARSED_VIEWS)
+def _(spark, sf):
+    vocab = bounded(V.classes(spark, sf).frame.where("class_id % 7 <> 3").select("label", "class_id"))
+    return text_eval.unknown_labels(text_eval.judge(V.outputs(spark, sf), vocab))
+
+
 @query("io8_failed_outputs", """
 select sample_id, '''' || replace(output, chr(10), '\\n') || '''' as failed_output from parsed where label = 'false_parse'""",
        PARSED_VIEWS, PARSED)

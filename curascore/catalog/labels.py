@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
-from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES
+from curascore.catalog.sqltext import (
+    CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES, confusion_sql, per_class_sql,
+)
 from curascore.functions.text import cast_label, compose_label, parse_output, parse_run_name
 from curascore.operators import labels as L
 from curascore.operators import positions as P
@@ -225,15 +227,34 @@ def _(spark, sf):
     return rows.select("sample_id", F.size("candidates").alias("n_candidates"), F.md5(F.array_join("candidates", ",")).alias("digest"))
 
 
-@query("j10_combine_views", """
-select class_id::int as class_id,
-  """ + ",\n  ".join(
-    f"round(coalesce(max(case when view = '{v}' then {m} end), 0), 6) as {m}_{v}"
-    for m in ("f1", "precision", "recall") for v in ("main", "lab", "field")) + """
-from per_class group by class_id""", ("predictions",), {**CONFUSION, **PER_CLASS})
+def per_class_wide_sql(keys: str = "", runs: str = "", names: str = "classes") -> str:
+    """All classes of ``names`` with the metrics of the three views side by side; ``runs`` lists the keys."""
+    k, on = (f"{keys}, ", f" and p.{keys} = g.{keys}") if keys else ("", "")
+    grid = f"(select r.{keys}, c.class_id, c.label from ({runs}) r, {names} c)" if keys else names
+    return f"select {'g.' + k if k else ''}g.class_id::int as class_id, g.label,\n  " + ",\n  ".join(
+        f"round(coalesce(max(case when p.view = '{v}' then p.{m} end), 0), 6) as {m}_{v}"
+        for m in ("f1", "precision", "recall") for v in ("main", "lab", "field")
+    ) + f"\nfrom {grid} g left join per_class p on p.class_id = g.class_id{on} group by {'g.' + k if k else ''}g.class_id, g.label"
+
+
+def rounded_table(wide, *fixed):
+    return wide.select(*fixed, *[F.round(c, 6).alias(c) for c in wide.columns if c not in fixed])
+
+
+@query("j10_combine_views", per_class_wide_sql(), ("predictions",), {**CONFUSION, **PER_CLASS})
+def _(spark, sf):
+    metrics = per_class_metrics(per_class_counts(confusion_long(V.predictions(spark, sf))))
+    return rounded_table(combine_views(metrics, classes=V.classes(spark, sf).frame), "class_id", "label")
+
+
+# One table per run, with all classes in each: of the nine runs, some miss classes in some views.
+@query("j10_combine_views_by_run", per_class_wide_sql("run_id", "select distinct run_id from run_preds"), ("predictions",), {
+    "run_preds": "select *, sample_id % 9 as run_id from predictions where sample_id % 9 < 4 or y_true % 2 = 0",
+    **confusion_sql("run_preds", "run_id"), **per_class_sql("run_id")})
 def _(spark, sf):
-    wide = combine_views(per_class_metrics(per_class_counts(confusion_long(V.predictions(spark, sf)))))
-    return wide.select("class_id", *[F.round(c, 6).alias(c) for c in wide.columns if c != "class_id"])
+    rows = V.predictions(spark, sf).withColumn("run_id", F.col("sample_id") % 9).where("run_id < 4 or y_true % 2 = 0")
+    metrics = per_class_metrics(per_class_counts(confusion_long(rows, ["run_id"]), ["run_id"]))
+    return rounded_table(combine_views(metrics, ["run_id"], V.classes(spark, sf).frame), "run_id", "class_id", "label")
 
 
 # ---------------------------------------------------------------- vocabulary and sets

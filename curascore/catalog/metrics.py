@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
-from curascore.catalog.labels import ORDER, vocab_with_failure
+from curascore.catalog.labels import ORDER, per_class_wide_sql, rounded_table, vocab_with_failure
 from curascore.catalog.sqltext import (
-    CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES, confusion_sql, macro_sql, per_class_sql,
+    CHOICES, CONFUSION, PARSED, PARSED_VIEWS, PER_CLASS, PROTOTYPES, SCORES, ZERO_SHOT, confusion_sql, dot_sql, macro_sql, per_class_sql,
 )
-from curascore.catalog.vectors import _BEST
+from curascore.catalog.vectors import _BEST, _head
 from curascore.operators import baselines as B
 from curascore.operators import choices as CH
 from curascore.operators import metrics as M
 from curascore.operators import positions as P
 from curascore.operators import runs as R
 from curascore.operators.labels import decode_labels
+from curascore.operators.lookup import bounded
 from curascore.plans import feature_eval, text_eval
 from curascore.plans import views as V
+from curascore.session import scratch_path
+from curascore.sources import heads
 
 N = V.N_CLASSES
 
@@ -229,3 +232,71 @@ select m.*, q.success_rate, q.false_parse, q.fallback, q.out_of_vocabulary from
 def _(spark, sf):
     outs = V.outputs(spark, sf).withColumn("run_id", F.col("sample_id") % 9)
     return rounded(text_eval.summary(outs, vocab_with_failure(spark, sf), keys=["run_id"]))
+
+
+def text_matrix_sql(src: str = "confusion") -> str:
+    """Wide matrix per view with the failure class as the last row and column."""
+    cells = ", ".join(f"coalesce(sum(n) filter (y_pred = {i}), 0)::bigint as p{i}" for i in range(N + 1))
+    return f"""select v.view, r.i::int as y_true, {cells} from (select unnest(['main', 'lab', 'field']) as view) v cross join range({N + 1}) r(i)
+  left join {src} c on c.view = v.view and c.y_true = r.i group by all"""
+
+
+# From outputs to the matrix over all classes and the failure class.
+@query("flow_text_matrix", text_matrix_sql(), PARSED_VIEWS, {**_TEXT, **confusion_sql("judged")})
+def _(spark, sf):
+    judged = text_eval.judge(V.outputs(spark, sf), vocab_with_failure(spark, sf), strict=True)
+    return text_eval.failure_matrix(text_eval.condense(judged).frame, N)
+
+
+_REGIMES = ("none", "pure", "context", "mcq")
+_BY_REGIME = {**PARSED, **ZERO_SHOT, **CHOICES, "resolved": """
+select o.sample_id, o.source, o.crop_disease_label, case o.sample_id % 4 when 0 then 'none' when 1 then 'pure' when 2 then 'context' else 'mcq' end as regime,
+  case o.sample_id % 4 when 0 then p.label when 1 then z.label
+    when 2 then coalesce((select arg_min(label, list_pos) from classes c where contains(o.output, c.label)), 'false_parse')
+    else case o.sample_id % 5 when 4 then 'false_parse' else opts[o.sample_id % 5 + 1] end end as label,
+  o.sample_id % 4 = 0 and p.is_fallback as is_fallback
+from outputs o join parsed p on o.sample_id = p.sample_id join zero_shot z on o.sample_id = z.sample_id
+join choices h on o.sample_id = h.sample_id""",
+              "judged": "select r.*, t.class_id as y_true, v.class_id as y_pred from resolved r join vocab t on r.crop_disease_label = t.label left join vocab v on r.label = v.label",
+              "jv": "select 'main' as view, * from judged union all select source as view, * from judged"}
+
+
+# All four regimes in one pass, to the metrics and parse counts of each.
+@query("flow_text_by_regime", f"""
+select m.*, q.success_rate, q.false_parse, q.fallback, q.out_of_vocabulary from ({macro_sql("regime")}) m join (
+  select regime, view, round((count(*) - count(*) filter (y_pred is not null and label = 'false_parse'))::double / count(*), 6) as success_rate,
+    count(*) filter (y_pred is not null and label = 'false_parse') as false_parse, count(*) filter (y_pred is not null and is_fallback) as fallback,
+    count(*) filter (y_pred is null) as out_of_vocabulary from jv group by all) q on m.view = q.view and m.regime = q.regime""",
+       ("outputs", "labelled"), {**_BY_REGIME, **confusion_sql("judged", "regime"), **per_class_sql("regime")})
+def _(spark, sf):
+    vocab = V.classes(spark, sf)
+    rows = CH.build_choices(V.samples(spark, sf), vocab)
+    regime = F.element_at(F.array(*[F.lit(x) for x in _REGIMES]), (F.col("sample_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("regime") == "mcq", V.choice_text()).otherwise(V.output_text())
+    rows = rows.withColumn("regime", regime).withColumn("output", text)
+    judged = text_eval.judge_by_regime(rows, vocab_with_failure(spark, sf), classes=vocab)
+    return rounded(text_eval.summary_of(text_eval.condense(judged, ["regime"]).frame, ["regime"]))
+
+
+# A head that is written, read, checked and evaluated; its scores are those of the normalised features.
+_STORED_HEAD = {**PROTOTYPES, "probed": f"select sample_id, y_true, source, class_id, {dot_sql('u', 'p')} + class_id * 0.01::double as score from unit, prototypes",
+                "predicted": _BEST.format(src="probed")}
+
+
+def _evaluated(spark, sf, name):
+    rows, path = V.features(spark, sf), scratch_path(spark, "head")
+    heads.save_head(_head(rows), path, "feature-table")
+    names = bounded(spark.range(V.N_FEATURE_CLASSES).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("class "), F.col("id").cast("string")).alias("label")))
+    return feature_eval.evaluate_stored_head(spark, path, rows, names)[name]
+
+
+@query("flow_probe_evaluation", macro_sql(), ("features",), {**_STORED_HEAD, **confusion_sql("predicted"), **per_class_sql()})
+def _(spark, sf):
+    return rounded(_evaluated(spark, sf, "summary"))
+
+
+@query("flow_probe_per_class", per_class_wide_sql(names="names"), ("features",), {
+    **_STORED_HEAD, "names": f"select i as class_id, 'class ' || i::varchar as label from range({V.N_FEATURE_CLASSES}) r(i)",
+    **confusion_sql("predicted"), **per_class_sql()})
+def _(spark, sf):
+    return rounded_table(_evaluated(spark, sf, "per_class"), "class_id", "label")

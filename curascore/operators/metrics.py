@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from curascore.operators.labels import with_views
 from curascore.settings import FALSE_PARSE, VIEWS
 
+GRID_IDS, MAX_RANGES = 1_024, 100_000  # ids in a range of a dense grid; ranges that a plan may name
+
 
 def confusion_long(df: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Count per (keys, view, true, predicted). Rows without a predicted class take no part.
@@ -122,12 +124,26 @@ def combine_views(metrics: DataFrame, keys: list[str] | None = None, classes: Da
     if classes is None:
         return table
     every = classes.select(F.col("class_id").cast("int"), "label")
-    if keys:  # the classes of a vocabulary for each of the runs
-        runs = table.select(*keys).distinct().groupBy().agg(F.collect_list(F.struct(*keys)).alias("_runs"))
-        every = every.join(runs).select("class_id", "label", F.explode("_runs").alias("_k")).select("_k.*", "class_id", "label")
+    if keys:
+        every = class_grid(table.select(*keys).distinct(), every)
     return every.join(table, [*(keys or []), "class_id"], "left").na.fill(0.0, [b for _, b in names])
 
 
+def class_grid(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every row of ``runs`` with every class of ``classes(class_id, label)``, dealt out by ranges of ids.
+
+    A run is listed once per range of ``GRID_IDS`` ids that has classes, and meets the classes of that range by an
+    equi-join; no list of runs or of classes is gathered. Ids may have gaps. The numbers of the ranges are one per
+    ``GRID_IDS`` classes where ids are dense; more than ``MAX_RANGES`` of them is an error.
+    """
+    ranged = classes.withColumn("_range", F.floor(F.col("class_id") / GRID_IDS).cast("int"))
+    ranges = sorted(r["_range"] for r in ranged.select("_range").distinct().limit(MAX_RANGES + 1).collect())
+    if len(ranges) > MAX_RANGES:
+        raise ValueError(f"class ids fall into more than {MAX_RANGES} ranges of {GRID_IDS}")
+    listed = runs.withColumn("_range", F.explode(F.array(*[F.lit(r) for r in ranges]).cast("array<int>")))
+    return listed.join(ranged, "_range").select(*runs.columns, *classes.columns)
+
+
 def matrix_to_long(wide: DataFrame, n_classes: int, row: str = "y_true", keep: list[str] | None = None) -> DataFrame:
     """Stored wide matrix -> (true, predicted, n) for the non-zero cells; it must have ``n_classes`` value columns."""
     extra = keep or []

@@ -41,7 +41,7 @@ def resolve_experiment(df: DataFrame, batch_sizes: Sequence[int] = GRID_BATCH_SI
         .withColumn("resolved", inside)
     )
     if strict:
-        message = F.concat(F.lit("Experiment id "), eid.cast("string"), F.lit(f" is outside the supported range 0-{size - 1}."))
+        message = F.concat(F.lit("no grid cell has number "), eid.cast("string"), F.lit(f"; there are {size}"))
         out = out.withColumn("resolved", F.when(eid.isNotNull() & ~inside, F.raise_error(message).cast("boolean")).otherwise(inside))
     return out
 
