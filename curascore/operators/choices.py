@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curascore.functions.hashing import col_of, hex_word, seed_key
 from curascore.functions.lets import let
 from curascore.functions.text import decode_choice, first_contained, parse_output, parse_zero_shot
+from curascore.operators.class_stream import chunk_parts, past_chunks
 from curascore.operators.labels import encode_labels, label_list
 from curascore.operators.lookup import Dimension, bounded, lookup_join
+from curascore.session import scratch_path
 from curascore.settings import CHOICE_KEYS, EVALUATION_SEED, FALSE_PARSE
 
 MAX_BRANCHES = 512  # labels searched by one compiled expression
+BLOCK_CHARS = 2_000_000  # of labels in one automaton
+TEXT_BYTES = 32 * 1024 * 1024  # of distinct outputs that a task holds while automata pass
 
 
 def _with_slots(df: DataFrame, position: str, n_labels: int, seed: int, row_id: str) -> tuple[DataFrame, list[Column]]:
@@ -73,29 +79,75 @@ def build_choices(df: DataFrame, vocab: DataFrame | Dimension, seed: int = EVALU
 def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "output", name: str = "label") -> DataFrame:
     """First label in list order that occurs in the output, else ``false_parse``.
 
-    A short class list becomes one compiled expression. A longer one is matched by an equi-join on the first
-    characters of the label against the substrings of that length of the output.
+    A short class list becomes one compiled expression; a longer one is searched with multi-pattern automata, in
+    blocks of labels.
     """
     table = bounded(classes)
     labels = label_list(table, "list_pos")
     if labels is not None and len(labels) <= MAX_BRANCHES:
         return df.withColumn(name, first_contained(output, labels))
-    return _context_match_by_join(df, table.frame, output, name)
+    return _context_match_by_automaton(df, table.frame, output, name)
 
 
-def _context_match_by_join(df: DataFrame, classes: DataFrame, output: str, name: str) -> DataFrame:
-    """Distinct outputs, by digest, become one row per place with a window as long as the longest label."""
-    low, high = classes.agg(F.min(F.length("label")), F.max(F.length("label"))).first()
-    width = min(12, low)
-    heads = classes.select("label", "list_pos", F.substring("label", 1, width).alias("_gram"))
+def _context_match_by_automaton(df: DataFrame, classes: DataFrame, output: str, name: str) -> DataFrame:
+    """Labels are packed into blocks of bounded size that stream past chunks of distinct outputs.
+
+    A block becomes one goto/fail automaton, which reads each output of the chunk once, whatever the number and length
+    of its labels; the least list position found so far is kept per output. Rows are the distinct outputs, by digest.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            labels, places = batch.column("label").to_pylist(), batch.column("list_pos").to_pylist()
+            start = size = 0
+            for i, label in enumerate(labels):
+                size += len(label) + 1
+                if size >= BLOCK_CHARS or i + 1 == len(labels):
+                    yield pa.RecordBatch.from_pydict({"_block": pa.array([places[start]], pa.int64()), "_labels": pa.array([labels[start : i + 1]], pa.list_(pa.string())),
+                                                      "_places": pa.array([places[start : i + 1]], pa.list_(pa.int64()))})
+                    start, size = i + 1, 0
+
+    def search(batches):
+        now, held = None, []
+
+        def found():
+            keys = [k for k, _, best in held if best is not None]
+            places = [best[0] for _, _, best in held if best is not None]
+            names = [best[1] for _, _, best in held if best is not None]
+            return pa.RecordBatch.from_pydict({"_key": pa.array(keys, pa.string()), "_place": pa.array(places, pa.int64()), "_label": pa.array(names, pa.string())})
+
+        for chunk, is_block, part in chunk_parts(batches):
+            if chunk != now:
+                yield found()
+                now, held = chunk, []
+            if not is_block:
+                held += [[k, t, None] for k, t in zip(part.column("_key").to_pylist(), part.column("_text").to_pylist(), strict=True)]
+                continue
+            for labels, places in zip(part.column("_labels").to_pylist(), part.column("_places").to_pylist(), strict=True):
+                automaton, least = Automaton(), None
+                for label, place in sorted(zip(labels, places, strict=True), key=lambda x: -x[1]):
+                    if label:
+                        automaton.add_word(label, (place, label))  # of equal labels the first in the list stays
+                    else:
+                        least = (place, label)
+                automaton.make_automaton()
+                for row in held:
+                    hits = (hit for _, hit in automaton.iter(row[1])) if len(automaton) else ()
+                    best = min(hits, default=None)
+                    row[2] = min((x for x in (row[2], best, least) if x is not None), default=None)
+        yield found()
+
     keyed = df.withColumn("_key", F.md5(output))
     texts = keyed.where("_key is not null").select("_key", F.col(output).alias("_text")).dropDuplicates(["_key"])
-    # An empty match at every place looks ahead, so a long text is read once.
-    windows = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{width},{high}}}))"), F.lit(1))
-    grams = texts.select("_key", F.explode(windows).alias("_window")).withColumn("_gram", F.substring("_window", 1, width))
-    hits = lookup_join(grams, heads, "_gram").where(F.startswith("_window", F.col("label")))
-    best = hits.groupBy("_key").agg(F.min_by("label", "list_pos").alias(name))
-    return keyed.join(best, "_key", "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(FALSE_PARSE)))
+    path = scratch_path(df.sparkSession, "labels")
+    schema = "_block long, _labels array<string>, _places array<long>"
+    listed = classes.where("label is not null").select("label", F.col("list_pos").cast("long").alias("list_pos"))
+    listed.mapInArrow(pack, schema).write.parquet(path)
+    blocks = df.sparkSession.read.schema(schema).parquet(path)
+    size = texts.agg(F.sum(F.octet_length("_text") + 100).alias("b")).first()["b"] or 0
+    both = past_chunks(texts.withColumn("_h", F.xxhash64("_key")), blocks, max(1, -(-size // TEXT_BYTES)), "_h")
+    best = both.mapInArrow(search, "_key string, _place long, _label string").select("_key", F.col("_label").alias(name))
+    return lookup_join(keyed, best, "_key", "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(FALSE_PARSE)))
 
 
 def resolve_prediction(df: DataFrame, regime: str | None, output: str = "output", classes: DataFrame | Dimension | None = None,

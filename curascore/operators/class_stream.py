@@ -156,6 +156,23 @@ class PerBlock:
                 pa.array([row.tolist() if fine else None for row, fine in zip(self.scores[at], ok, strict=True)], pa.list_(pa.float64()))]
 
 
+def past_chunks(rows: DataFrame, blocks: DataFrame, chunks: int, by: str) -> DataFrame:
+    """Rows, dealt into chunks by the hash column ``by``, each chunk followed by all ``blocks``, in one sorted frame."""
+    dealt = rows.withColumn("_chunk", F.pmod(by, F.lit(chunks)).cast("int")).withColumn("_kind", F.lit(0))
+    copies = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("_kind", F.lit(1))
+    return dealt.unionByName(copies, allowMissingColumns=True).repartition("_chunk").sortWithinPartitions("_chunk", "_kind", by, "_block")
+
+
+def chunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """The parts of such a frame that belong to one chunk and are all rows or all blocks, in order."""
+    for batch in batches:
+        if batch.num_rows:
+            which, kind = batch.column("_chunk").to_numpy(), batch.column("_kind").to_numpy()
+            edges = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
+                yield int(which[a]), bool(kind[a]), batch.slice(a, b - a)
+
+
 def against_classes(df: DataFrame, blocks: DataFrame, take: Best | All | PerBlock, features: str = "features", unit: bool = False,
                     keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) of every row of ``df`` and what ``take`` makes of its scores with all classes.
@@ -173,9 +190,7 @@ def against_classes(df: DataFrame, blocks: DataFrame, take: Best | All | PerBloc
     chunks = max(1, -(-df.count() // max(1, min(CHUNK_ROWS, CHUNK_BYTES // (8 * (width + held))))))
     plain = df.select(*(F.col(n).alias(f"_c{i}") for i, n in enumerate(names)), F.col(features).alias("_f"))
     packed = [f"_c{i}" for i in range(len(names))]
-    samples = plain.withColumn("_h", F.xxhash64(*packed, "_f")).withColumn("_chunk", F.pmod("_h", F.lit(chunks)).cast("int")).withColumn("_kind", F.lit(0))
-    streams = blocks.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("_kind", F.lit(1))
-    both = samples.unionByName(streams, allowMissingColumns=True).repartition("_chunk").sortWithinPartitions("_chunk", "_kind", "_h", "_block")
+    both = past_chunks(plain.withColumn("_h", F.xxhash64(*packed, "_f")), blocks, chunks, "_h")
     schema = T.StructType([*(T.StructField(p, f.dataType) for p, f in zip(packed, plain.schema.fields, strict=False)), *take.fields])
     every_block = isinstance(take, PerBlock)
 
@@ -188,32 +203,26 @@ def against_classes(df: DataFrame, blocks: DataFrame, take: Best | All | PerBloc
             place = np.cumsum(valid) - 1
             yield from chunk.out(packed, lambda at: take.columns(np.where(valid[at], place[at], 0) if valid.any() else at * 0, valid[at]), arrow)
 
-        for batch in batches:
-            if not batch.num_rows:
+        for which, is_block, part in chunk_parts(batches):
+            if which != now:
+                if rows is not None and not every_block:
+                    yield from results()
+                now, chunk, rows = which, _Chunk(), None
+            if not is_block:
+                chunk.add(part)
                 continue
-            which, kind = batch.column("_chunk").to_numpy(), batch.column("_kind").to_numpy()
-            edges = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
-                if which[a] != now:
-                    if rows is not None and not every_block:
-                        yield from results()
-                    now, chunk, rows = which[a], _Chunk(), None
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    chunk.add(part)
-                    continue
-                if not chunk.parts:
-                    continue
-                if rows is None:
-                    valid, rows = chunk.rows("_f", unit, width)
-                    take.begin(max(1, len(rows)))
-                for ids, weights, bias in zip(part.column("_ids"), part.column("_weights"), part.column("_bias"), strict=True):
-                    ids = np.frombuffer(ids.as_py(), np.int64)
-                    scores = rows @ np.frombuffer(weights.as_py(), np.float64).reshape(-1, width).T + np.frombuffer(bias.as_py(), np.float64)
-                    if len(rows):
-                        take.see(ids, scores)
-                    if every_block:
-                        yield from results()
+            if not chunk.parts:
+                continue
+            if rows is None:
+                valid, rows = chunk.rows("_f", unit, width)
+                take.begin(max(1, len(rows)))
+            for ids, weights, bias in zip(part.column("_ids"), part.column("_weights"), part.column("_bias"), strict=True):
+                ids = np.frombuffer(ids.as_py(), np.int64)
+                scores = rows @ np.frombuffer(weights.as_py(), np.float64).reshape(-1, width).T + np.frombuffer(bias.as_py(), np.float64)
+                if len(rows):
+                    take.see(ids, scores)
+                if every_block:
+                    yield from results()
         if rows is not None and not every_block:
             yield from results()
 

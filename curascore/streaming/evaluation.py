@@ -51,29 +51,52 @@ def streaming_confusion(stream: DataFrame) -> DataFrame:
     )
 
 
-def run_confusion(stream: DataFrame, path: str) -> DataFrame:
-    """Drain the stream; each micro-batch replaces the snapshot folder of its batch id, so a retry is harmless.
+COMPACT_EVERY = 16  # batches whose changes are merged into one version of the whole state
 
-    Returns the confusion counts per view of the newest snapshot in the folder, which may be of an earlier run; a
-    stream that never had a row gives no rows.
+
+def run_confusion(stream: DataFrame, path: str, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """Drain the stream; return the confusion counts per view of all batches in the folder, also of earlier runs.
+
+    A batch writes the new counts of the keys that it changed, under its own id, so a retry replaces them. Every
+    ``compact_every`` batches the changes so far become a version of the whole state, which later ones build on.
     """
     counts = streaming_confusion(stream)
 
-    def snapshot(batch: DataFrame, batch_id: int) -> None:
-        confusion_long(batch, weight="n").write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
+    def changes(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            _state(batch.sparkSession, path, batch_id).write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("complete").foreachBatch(snapshot)
+        counts.writeStream.outputMode("update").foreachBatch(changes)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    spark = counts.sparkSession
-    files, folder = _files(spark, f"{path}/snapshots")
-    found = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-    batches = [int(name.split("=")[1]) for name in found if name.startswith("batch=")]
-    if not batches:
-        return confusion_long(spark.createDataFrame([], "source string, y_true int, y_pred int"))
-    return spark.read.parquet(f"{path}/snapshots/batch={max(batches)}")
+    return confusion_long(_state(counts.sparkSession, path), weight="n")
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Ids of the batches under a folder whose write was finished."""
+    files, place = _files(spark, folder)
+    names = [f.getPath() for f in files.listStatus(place)] if files.exists(place) else []
+    done = [p.getName() for p in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(name.split("=")[1]) for name in done if name.startswith("batch="))
+
+
+def _state(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
+    """(source, y_true, y_pred, n) after batch ``until`` (default: the last): the newest version and later changes."""
+    schema = "source string, y_true int, y_pred int, n long"
+    versions = [b for b in _batches(spark, f"{path}/versions") if until is None or b < until]
+    base = versions[-1] if versions else -1
+    later = [b for b in _batches(spark, f"{path}/changes") if b > base and (until is None or b <= until)]
+    state = spark.createDataFrame([], schema + ", batch long")
+    if versions:
+        state = spark.read.schema(schema).parquet(f"{path}/versions/batch={base}").withColumn("batch", F.lit(base).cast("long"))
+    if later:
+        # One read of all changes; a changed key carries its whole count, so the latest one counts.
+        read = spark.read.schema(schema + ", batch long").option("basePath", f"{path}/changes")
+        state = state.unionByName(read.parquet(*[f"{path}/changes/batch={b}" for b in later]))
+    return state.groupBy("source", "y_true", "y_pred").agg(F.max_by("n", "batch").alias("n"))
 
 
 def run_parse(parsed: DataFrame, path: str) -> DataFrame:
