@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from curascore.llm import sums
 from curascore.llm.base import query, stored, table
+from curascore.llm.packing import pack, unpack
 from curascore.llm.words import Words, blank_separated, byte_texts, chunks, lowered, mix
 
 ORDER = 2  # of the registered query; each further order ships about six bytes per token once more
@@ -36,28 +37,6 @@ GRID = 8  # cells of the logarithmic grid per power of two
 ROUNDS, SETTLED = 40, 1e-4
 _START, _END = (mix(np.array([x], np.uint64))[0] for x in (0x5EED, 0xE11D))
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_ZSTD = pa.Codec("zstd", 1)
-
-
-def pack(values: np.ndarray, ascending: bool = False) -> bytes:
-    """Unsigned integers as compressed byte planes; ``ascending`` ones as differences."""
-    v = np.asarray(values, np.uint64)
-    if ascending and len(v):
-        v = np.concatenate([v[:1], np.diff(v)])
-    planes = v.view(np.uint8).reshape(-1, 8).T
-    used = max((i + 1 for i in range(8) if planes[i].any()), default=0)
-    body = np.ascontiguousarray(planes[:used]).tobytes()
-    return len(v).to_bytes(7, "little") + bytes([used]) + (_ZSTD.compress(body, asbytes=True) if body else b"")
-
-
-def unpack(data: bytes, ascending: bool = False) -> np.ndarray:
-    n, used = int.from_bytes(data[:7], "little"), data[7]
-    planes = np.zeros((8, n), np.uint8)
-    if n and used:
-        planes[:used] = np.frombuffer(_ZSTD.decompress(data[8:], n * used, asbytes=True), np.uint8).reshape(used, n)
-    v = np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
-    return np.cumsum(v, dtype=np.uint64) if ascending else v
-
 
 _BLOCK = "block string, rows int, doc_id binary, none binary, out binary, sizes binary, words binary, at binary"
 _BLOCK_ARROW = pa.schema([("block", pa.string()), ("rows", pa.int32()), *((c, pa.binary()) for c in ("doc_id", "none", "out", "sizes", "words", "at"))])
@@ -323,18 +302,16 @@ def interpolated_scores(docs: DataFrame, out: str = "out", order: int = ORDER) -
     uniform = 1.0 / (v + 1)
 
     def totals(weights: np.ndarray) -> np.ndarray:
-        def run(batches):
-            from pyspark import TaskContext
-
+        def expected(batches):
             total = np.zeros((buckets, order + 1))
             for batch in batches:
                 for b, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "cells", "counts")), strict=True):
                     ml = centres(np.frombuffer(cells, np.int32).reshape(-1, order))
                     each = np.column_stack([np.full(len(ml), uniform), ml]) * weights[b]
                     total[b] += (each * (np.frombuffer(counts, np.int64) / each.sum(1))[:, None]).sum(0)
-            yield sums.rows([(0, np.arange(buckets), total)], TaskContext.get().partitionId())
+            return total
 
-        return sums.collected(sums.add_up(events.mapInArrow(run, sums.SCHEMA), order + 1), order + 1, 1, buckets)[0]
+        return sums.dense_total(events, expected, (buckets, order + 1))
 
     weights = learn_weights(totals, buckets, order) if n else np.tile(np.eye(order + 1)[0], (buckets, 1))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "part int, salt int, at binary, value binary"
 ARROW = pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
@@ -37,6 +41,31 @@ def add_up(partial: DataFrame, columns: int) -> DataFrame:
     return partial.groupBy("part", "salt").applyInArrow(lambda g: add(g), SCHEMA).groupBy("part").applyInArrow(lambda g: add(g), SCHEMA)
 
 
+TASKS_AT_ONCE = 256  # partial sums that the driver adds up itself; more are added up in groups first
+
+
+def dense_total(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all tasks of ``of(batches)``, an array of ``shape``, which must be bounded by the model.
+
+    Arrays are added in the order of the tasks, so a rerun agrees. With few tasks this is one stage.
+    """
+
+    def run(batches):
+        value = np.ascontiguousarray(of(batches), np.float64)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "value": pa.array([value.tobytes()], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        total = sum((np.frombuffer(v, np.float64) for v in group.column("value").to_pylist()), np.zeros(int(np.prod(shape))))
+        return pa.table({"part": group.column("part")[:1].combine_chunks(), "value": pa.array([total.tobytes()], pa.binary())})
+
+    partial = df.mapInArrow(run, "part int, value binary")
+    if df.rdd.getNumPartitions() > TASKS_AT_ONCE:
+        partial = partial.groupBy(F.pmod("part", F.lit(TASKS_AT_ONCE))).applyInArrow(lambda g: add(g), "part int, value binary")
+    found = partial.toArrow()
+    return np.frombuffer(add(found).column("value")[0].as_py(), np.float64).reshape(shape) if found.num_rows else np.zeros(shape)
+
+
 def collected(total: DataFrame, columns: int, parts: int, width: int) -> np.ndarray:
     """The sums as a dense array (parts, width, columns); its size is fixed by the model, not by the data."""
     out = np.zeros((parts, width, columns))

@@ -11,7 +11,8 @@ import pytest
 
 from curascore.llm import interpolation
 from curascore.llm.base import table
-from curascore.llm.interpolation import interpolated_scores, pack, unpack
+from curascore.llm.interpolation import interpolated_scores
+from curascore.llm.packing import pack, unpack
 from curascore.llm.queries import REGISTRY
 from tests.conftest import SF
 from tests.llm.conftest import ODD
