@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from curascore.llm.base import query, stored, table, text_bytes
 from curascore.llm.components import components
+from curascore.llm.packing import pack, unpack
 from curascore.llm.words import Words, blank_separated, byte_texts, chunks, lowered, runs_of
 
 SHINGLE_WORDS = 5
@@ -55,27 +56,55 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_DEALT = "kind int, part int, doc_id long, n int, class long, h binary, c binary, s binary, f binary"
-_DEALT_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()),
-                          ("class", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("s", pa.binary()), ("f", pa.binary())])
-_DOC, _ENTRY = 0, 1
+_DEALT = "kind int, part int, doc_id long, n int, class long, e binary, f binary"
+_DEALT_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("e", pa.binary()), ("f", pa.binary())])
+_DOC, _ENTRY, _HOT = 0, 1, 2
 
 
-def _rows(kind: int, part, h, c, s, f) -> pa.RecordBatch:
+def pack_entries(h: np.ndarray, c: np.ndarray, s: np.ndarray, d: np.ndarray | None = None) -> bytes:
+    """Entries (shingle hash, class, size of the class's set, count) as one value: hashes ascending, a class and its size
+    once, with each entry the place of its class; about half of what the plain columns take."""
+    order = np.argsort(h, kind="stable")
+    classes, first, place = np.unique(c[order], return_index=True, return_inverse=True)
+    parts = [pack(h[order], ascending=True), pack(classes.view(np.uint64), ascending=False), pack(s[order][first]), pack(place)]
+    if d is not None:
+        parts.append(pack(d[order]))
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unpack_entries(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns (h, c, s, d) of some packed values, one after the other; d is 0 where it was not packed."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+    for data in values:
+        parts, at = [], 0
+        while data and at < len(data):
+            size = int.from_bytes(data[at : at + 8], "little")
+            parts.append(data[at + 8 : at + 8 + size])
+            at += 8 + size
+        if parts:
+            h, place = unpack(parts[0], ascending=True), unpack(parts[3]).astype(np.int64)
+            found[0].append(h)
+            found[1].append(unpack(parts[1]).view(np.int64)[place])
+            found[2].append(unpack(parts[2]).astype(np.int32)[place])
+            found[3].append(unpack(parts[4]).astype(np.int32) if len(parts) > 4 else np.zeros(len(h), np.int32))
+    h, c, s, d = (np.concatenate(x) for x in found)
+    return h, c, s, d
+
+
+def _rows(kind: int, part: list[int], e: list[bytes | None], f: list[bytes | None]) -> pa.RecordBatch:
     n = len(part)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, kind, np.int32)), pa.array(part, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
-         pa.nulls(n, pa.int64()), pa.array(h, pa.binary()), pa.array(c, pa.binary()), pa.array(s, pa.binary()),
-         pa.array(f, pa.binary())], schema=_DEALT_ARROW)
+         pa.nulls(n, pa.int64()), pa.array(e, pa.binary()), pa.array(f, pa.binary())], schema=_DEALT_ARROW)
 
 
-def _split(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """The columns' bytes for each part that has entries; the order within a part stays."""
+def _split(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
+    """The columns of each part that has entries."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))
-    edges = [*first, len(part)]
-    return part[first], [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (y[order] for y in columns)]
+    columns = [x[order] for x in columns]
+    return [(int(part[a]), [x[a:b] for x in columns]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
 
 
 def _deal(batches, parts: int, size: int):
@@ -94,13 +123,13 @@ def _deal(batches, parts: int, size: int):
         if len(often):
             at = np.minimum(np.searchsorted(often, h), len(often) - 1)
             hot = often[at] == h
-            part, (hb, cb, sb) = _split((c[hot].view(np.uint64) % np.uint64(parts)).astype(np.int32), h[hot], c[hot], s[hot])
-            yield _rows(2, part, hb, cb, sb, [b""] * len(part))
-            part, (fb,) = _split(((often >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often)
-            yield _rows(_ENTRY, part, [b""] * len(part), [b""] * len(part), [b""] * len(part), fb)
+            dealt = _split((c[hot].view(np.uint64) % np.uint64(parts)).astype(np.int32), h[hot], c[hot], s[hot])
+            yield _rows(_HOT, [p for p, _ in dealt], [pack_entries(*x) for _, x in dealt], [None] * len(dealt))
+            dealt = _split(((often >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often)
+            yield _rows(_ENTRY, [p for p, _ in dealt], [None] * len(dealt), [x.tobytes() for _, (x,) in dealt])
             h, c, s = h[~hot], c[~hot], s[~hot]
-        part, (hb, cb, sb) = _split(((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), h, c, s)
-        yield _rows(_ENTRY, part, hb, cb, sb, [b""] * len(part))
+        dealt = _split(((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), h, c, s)
+        yield _rows(_ENTRY, [p for p, _ in dealt], [pack_entries(*x) for _, x in dealt], [None] * len(dealt))
 
     total = 0
     for batch in batches:
@@ -120,23 +149,20 @@ def _deal(batches, parts: int, size: int):
         blank = pa.nulls(n, pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, _DOC, np.int32)), pa.array(np.array(classes, np.int64).view(np.uint64) % np.uint64(parts), pa.uint64()).cast(pa.int32()),
-             batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(classes, pa.int64()), blank, blank, blank, blank],
+             batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(classes, pa.int64()), blank, blank],
             schema=_DEALT_ARROW)
     if held:
         yield from flush()
 
 
-def _joined(table_: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table_.column(name).to_pylist() if x), kind)
-
-
-_SHARED = "part int, c binary, h binary, d binary, s binary"
-_SHARED_ARROW = pa.schema([("part", pa.int32()), ("c", pa.binary()), ("h", pa.binary()), ("d", pa.binary()), ("s", pa.binary())])
+_SHARED = "part int, e binary"
+_SHARED_ARROW = pa.schema([("part", pa.int32()), ("e", pa.binary())])
 
 
 def _count(group: pa.Table, parts: int) -> pa.Table:
     """From the entries of a range of hashes, those of two classes or more or marked frequent, dealt by class."""
-    h, c, s, often = (_joined(group, *x) for x in (("h", np.uint64), ("c", np.int64), ("s", np.int32), ("f", np.uint64)))
+    h, c, s, _ = unpack_entries(group.column("e").to_pylist())
+    often = np.frombuffer(b"".join(x for x in group.column("f").to_pylist() if x), np.uint64)
     often = np.unique(often)
     order = np.argsort(h, kind="stable")
     same = np.zeros(len(h) + 1, bool)
@@ -159,10 +185,8 @@ def _count(group: pa.Table, parts: int) -> pa.Table:
         d = np.where(often[at] == h, FREQUENT_DF, d)
     keep = d >= 2
     h, c, s, d = h[keep], c[keep], s[keep], d[keep].astype(np.int32)
-    order = np.argsort(c, kind="stable")
-    h, c, s, d = h[order], c[order], s[order], d[order]
-    part, (cb, hb, db, sb) = _split((c.view(np.uint64) % np.uint64(parts)).astype(np.int32), c, h, d, s)
-    return pa.Table.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in (cb, hb, db, sb))], schema=_SHARED_ARROW)
+    dealt = _split((c.view(np.uint64) % np.uint64(parts)).astype(np.int32), h, c, s, d)
+    return pa.Table.from_arrays([pa.array([p for p, _ in dealt], pa.int32()), pa.array([pack_entries(*x) for _, x in dealt], pa.binary())], schema=_SHARED_ARROW)
 
 
 _CANDIDATE = "class long, n int, grp long, m int, core double, prefix array<long>, shared binary"
@@ -171,7 +195,7 @@ _CANDIDATE_ARROW = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("grp",
 
 def _prefixes(group: pa.Table, percent: int) -> pa.Table:
     """Classes of a part whose prefix holds a shared shingle: group key, shared part of the prefix, shared shingles."""
-    c, h, d, s = (_joined(group, *x) for x in (("c", np.int64), ("h", np.uint64), ("d", np.int32), ("s", np.int32)))
+    h, c, s, d = unpack_entries(group.column("e").to_pylist())
     order = np.lexsort((h, d, c))
     c, h, d, s = c[order], h[order], d[order], s[order]
     new = np.ones(len(h), bool)
@@ -203,7 +227,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in keep], pa.int64()), "b": pa.array([b[i] for i in keep], pa.int64())})
 
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Sets grow with the texts: one join strategy at every size.
+    wide = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
@@ -221,26 +246,23 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         kinds = group.column("kind").to_numpy()
         rows = group.filter(pa.array(kinds == _DOC))
         n = rows.num_rows
-        blank = pa.nulls(n, pa.binary())
         made = [pa.Table.from_arrays([rows.column("kind"), rows.column("doc_id"), rows.column("n"), rows.column("class"),
-                                      rows.column("part"), blank, blank, blank, blank], schema=out_arrow)]
-        hot = group.filter(pa.array(kinds == 2))
-        n = hot.num_rows
-        frequent = [np.full(len(x) // 8, FREQUENT_DF, np.int32).tobytes() for x in hot.column("h").to_pylist()]
-        made.append(pa.Table.from_arrays(
-            [pa.array(np.full(n, 1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-             hot.column("part"), hot.column("c"), hot.column("h"), pa.array(frequent, pa.binary()), hot.column("s")], schema=out_arrow))
+                                      rows.column("part"), pa.nulls(n, pa.binary())], schema=out_arrow)]
+        hot = []
+        for e in group.filter(pa.array(kinds == _HOT)).column("e").to_pylist():
+            h, c, s, _ = unpack_entries([e])
+            hot.append(pack_entries(h, c, s, np.full(len(h), FREQUENT_DF, np.int32)))
         shared = _count(group.filter(pa.array(kinds == _ENTRY)), parts)
-        n = shared.num_rows
-        made.append(pa.Table.from_arrays(
-            [pa.array(np.full(n, 1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *shared.columns],
-            schema=out_arrow))
+        for part, e in ((pa.array([group.column("part")[0].as_py()] * len(hot), pa.int32()), pa.array(hot, pa.binary())), shared.columns):
+            n = len(e)
+            made.append(pa.Table.from_arrays(
+                [pa.array(np.full(n, 1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), part, e], schema=out_arrow))
         return pa.concat_tables(made)
 
     counted = stored(dealt.groupBy("part").applyInArrow(count, empty_shared), "shingles", "kind")
     rows = counted.where("kind = 0").select("doc_id", "n", "class")
     candidates = stored(
-        counted.where("kind = 1").select("part", "c", "h", "d", "s").groupBy("part").applyInArrow(lambda x: _prefixes(x, percent), _CANDIDATE),
+        counted.where("kind = 1").select("part", "e").groupBy("part").applyInArrow(lambda x: _prefixes(x, percent), _CANDIDATE),
         "prefixes")
     return rows, _link(candidates, percent)
 
@@ -254,7 +276,7 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     # The members of a group are a list as well, each as a unit of its own.
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     within = sets.join(several, "grp").select(F.col("grp").alias("h"), F.col("class").alias("grp"), "n", "m", F.col("class").alias("leader"), "core")
-    lists = stored(postings.join(kept, "h").select("h", "grp", "n", "m", "leader", "core").union(within), "lists")
+    lists = stored(postings.join(kept.hint("merge"), "h").select("h", "grp", "n", "m", "leader", "core").union(within), "lists")
     members = stored(sets.select("grp", "class").union(within.select("grp", F.col("leader").alias("class"))), "members")
     # Both must be able to hold the overlap that two sets of their sizes need: at most what others hold too.
     close = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
@@ -264,7 +286,7 @@ def _link(sets: DataFrame, percent: int) -> DataFrame:
     best = [F.max(F.when(share == k, F.struct("core", "leader", "n", "m"))) for k in range(STAR_PIVOTS)]
     pivots = lists.groupBy("h").agg(F.transform(F.array_compact(F.array(*best)), lambda p: F.struct(
         p["leader"].alias("a"), p["n"].alias("na"), p["m"].alias("ma"))).alias("p"))
-    star = lists.join(pivots, "h").select("leader", F.col("n").alias("nb"), F.col("m").alias("mb"), F.explode("p").alias("p")).select(
+    star = lists.join(pivots.hint("merge"), "h").select("leader", F.col("n").alias("nb"), F.col("m").alias("mb"), F.explode("p").alias("p")).select(
         "leader", "nb", "mb", "p.*").where("leader <> a").where(close).select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
     links = stored(_verify(star.distinct(), sets, percent), "links")
     # What is left: pairs of groups that share a list and are not of one component, then pairs of their members.
@@ -320,7 +342,7 @@ def _blocks(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         parent[top(rows[x][2])] = top(root)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    wide = dealt.join(sets.select("class", "n", "shared"), "class")
+    wide = dealt.join(sets.select("class", "n", "shared").hint("merge"), "class")
     return wide.groupBy("h", "i", "j").applyInArrow(check, "a long, b long")
 
 
