@@ -11,6 +11,7 @@ from curascore.catalog.metrics import _QUALITY, _TEXT, WIDE, rounded, text_matri
 from curascore.catalog.sqltext import CONFUSION, PARSED, PARSED_VIEWS, PROTOTYPES, confusion_sql, per_class_sql
 from curascore.catalog.text import quoted
 from curascore.catalog.vectors import _head
+from curascore.functions.text import escape_output
 from curascore.operators import labels as L
 from curascore.operators import metrics as M
 from curascore.operators.lookup import bounded
@@ -52,12 +53,11 @@ def _(spark, sf):
 _CSV = ["True Label", "True Label (Text)", "Parsed Output"]
 
 
-def _outputs_csv(spark, sf) -> str:
-    """Raw outputs as CSV, so that fields with quotes and line breaks are exercised."""
+def _outputs_csv(spark, sf, output) -> str:
     path = scratch_path(spark, "outputs")
     vocab = V.classes(spark, sf)
     rows = L.encode_labels(V.outputs(spark, sf), vocab).select(
-        F.col("output").alias(_CSV[2]), F.col("class_id").alias(_CSV[0]), F.col("crop_disease_label").alias(_CSV[1]))
+        output.alias(_CSV[2]), F.col("class_id").alias(_CSV[0]), F.col("crop_disease_label").alias(_CSV[1]))
     writers.write_csv(rows, path, _CSV)
     return path
 
@@ -66,9 +66,15 @@ _CSV_SQL = """select c.class_id::int as "True Label", o.crop_disease_label as "T
 from outputs o join classes c on o.crop_disease_label = c.label"""
 
 
-@query("io3_read_outputs_csv", _CSV_SQL.format("o.output"), ("outputs", "classes"))
+@query("io3_read_outputs_csv", _CSV_SQL.format("'''' || replace(o.output, chr(10), '\\n') || ''''"), ("outputs", "classes"))
 def _(spark, sf):
-    return readers.read_outputs_csv(spark, _outputs_csv(spark, sf))
+    return readers.read_outputs_csv(spark, _outputs_csv(spark, sf, escape_output("output")))
+
+
+# Raw outputs, so that fields with quotes and line breaks are exercised.
+@query("io3_read_raw_outputs_csv", _CSV_SQL.format("o.output"), ("outputs", "classes"))
+def _(spark, sf):
+    return readers.read_outputs_csv(spark, _outputs_csv(spark, sf, F.col("output")), multi_line=True)
 
 
 @query("io4_read_matrix_csv", "select * from wide", ("predictions",), {**CONFUSION, **WIDE})
@@ -107,10 +113,15 @@ def _(spark, sf):
     return readers.load_samples(spark, path, schema=readers.CURATED_SCHEMA)
 
 
-@query("io7_list_checkpoints")
+# A folder per run name of the part table, with a file that holds how many rows have the name.
+@query("io7_list_checkpoints", """
+select path as run, (length(count(*)::varchar) + 1)::bigint as length from run_files where contains(path, '_model_exp_') group by path""", ("run_files",))
 def _(spark, sf):
-    files = readers.list_checkpoints(spark, sf, "*.parquet")
-    return files.select(F.substring_index("path", "/", -1).alias("file"), "length")
+    folder = scratch_path(spark, "checkpoints")
+    names = V.run_files(spark, sf).where(F.contains("path", F.lit("_model_exp_"))).groupBy(F.col("path").alias("run")).agg(F.count("*").cast("string").alias("rows"))
+    names.repartition("run").write.partitionBy("run").text(folder)
+    files = readers.list_checkpoints(spark, folder, "*.txt")
+    return files.select(F.regexp_extract("path", "/run=([^/]*)/", 1).alias("run"), "length")
 
 
 def _report(spark, sf, name):

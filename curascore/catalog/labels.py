@@ -227,6 +227,17 @@ def _(spark, sf):
     return rows.select("sample_id", F.size("candidates").alias("n_candidates"), F.md5(F.array_join("candidates", ",")).alias("digest"))
 
 
+# The same candidates by reference: rows hold a list and a left-out place, and are written out here only.
+@query("j9_distractors_by_reference", """
+select sample_id, c.class_id::bigint as left_out, b.first, md5(array_to_string(list_filter(b.labels, lambda x: x <> crop_disease_label), ',')) as digest
+from samples s join classes c on s.crop_disease_label = c.label,
+  (select class_id // 1024 * 1024 as first, list(label order by class_id) as labels from classes group by 1) b
+where len(list_filter(b.labels, lambda x: x <> crop_disease_label)) > 0""", ("samples", "classes"))
+def _(spark, sf):
+    refs, blocks = L.distractor_references(V.samples(spark, sf), V.classes(spark, sf))
+    return L.distractors(refs, blocks).select("sample_id", "left_out", "first", F.md5(F.array_join("candidates", ",")).alias("digest"))
+
+
 def per_class_wide_sql(keys: str = "", runs: str = "", names: str = "classes") -> str:
     """All classes of ``names`` with the metrics of the three views side by side; ``runs`` lists the keys."""
     k, on = (f"{keys}, ", f" and p.{keys} = g.{keys}") if keys else ("", "")

@@ -198,6 +198,19 @@ def _(spark, sf):
     )
 
 
+# The regime in a column, and the list of labels as a table of one row instead of a literal.
+@query("tx11_instruction_by_regime", f"""
+select sample_id, regime, md5(case regime when 'context' then replace({quoted(CONTEXT_INSTRUCTION)}, '{{labels}}', {_LIST_TEXT})
+  when 'mcq' then replace({quoted(CHOICE_INSTRUCTION)}, '{{options}}', {_OPTS_TEXT}) else {quoted(PURE_INSTRUCTION)} end) as instruction
+from (select *, case sample_id % 3 when 0 then 'pure' when 1 then 'context' else 'mcq' end as regime from choices) c,
+  (select list(label order by list_pos) as names from classes) n""", ("labelled",), CHOICES)
+def _(spark, sf):
+    vocab = V.classes(spark, sf)
+    regime = F.element_at(F.array(F.lit("pure"), F.lit("context"), F.lit("mcq")), (F.col("sample_id") % 3 + 1).cast("int"))
+    rows = CH.build_choices(V.samples(spark, sf), vocab).withColumn("regime", regime)
+    return CH.with_instruction(rows, vocab).select("sample_id", "regime", F.md5("instruction").alias("instruction"))
+
+
 @query("tx12_answer_text", "select sample_id, concat('Class: ', crop, chr(10), 'Disease: ', disease) as answer from samples", ("samples",))
 def _(spark, sf):
     return V.samples(spark, sf).select("sample_id", TX.answer_text().alias("answer"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curascore.catalog.base import query
-from curascore.catalog.sqltext import LINEAR, PROTOTYPES, SCORES, UNIT
+from curascore.catalog.sqltext import LINEAR, PROTOTYPES, SCORES, UNIT, dot_sql
 from curascore.functions import tokens as TK
 from curascore.functions import vectors as VE
 from curascore.operators import positions as P
@@ -131,6 +131,32 @@ def _(spark, sf):
                      (F.min(F.when(F.col("is_best"), F.col("val_loss"))) == F.min("val_loss")).alias("best_is_lowest"))
 
 
+# One gradient step from zero weights per rate: SQL states the weights of every head, and from them each validation loss.
+_RATES = [0.5, 5.0, 50.0, 500.0]
+_SWEEP = {
+    **UNIT,
+    "tr": "select u, y_true from unit where split = 'train'",
+    "size": "select count(*)::double as n from tr",
+    "e": "select y_true, unnest(u) as x, generate_subscripts(u, 1) as i from tr union all select y_true, 1.0, 65 from tr",
+    "g": f"select k.k as class_id, i, sum(case when y_true = k.k then x else 0 end) - sum(x) / {V.N_FEATURE_CLASSES} as g from e, range({V.N_FEATURE_CLASSES}) k(k) group by all",
+    "heads": f"select r.s as setting, class_id, i, ({_RATES})[r.s + 1] / n * g as w from g, size, range({len(_RATES)}) r(s)",
+    "lists": "select setting, class_id, list(w order by i) as w from heads group by all",
+    "z": f"select setting, sample_id, y_true, class_id, {dot_sql('w', 'list_append(u, 1.0)')} as z from lists, unit where split = 'validation'",
+    "ce": "select setting, sample_id, max(z) + ln(sum(exp(z - top))) - max(case when class_id = y_true then z end) as loss"
+    " from (select *, max(z) over (partition by setting, sample_id) as top from z) z group by setting, sample_id",
+    "mean_loss": "select setting, avg(loss) as loss from ce group by setting",
+}
+
+
+@query("ve8_sweep_rates", f"""
+select setting::int as setting, ({_RATES})[setting + 1]::double as rate, round(loss, 6) as val_loss, loss = (select min(loss) from mean_loss) as is_best
+from mean_loss""", ("features",), _SWEEP)
+def _(spark, sf):
+    rows = V.features(spark, sf)
+    table, _head = PB.sweep_rates(rows.where("split = 'train'"), rows.where("split = 'validation'"), _RATES, V.N_FEATURE_CLASSES, steps=1)
+    return table.withColumn("val_loss", F.round("val_loss", 6))
+
+
 @query("ve9_pooled_feature", _elements_sql("""(
   select sample_id, case when sample_id % 4 = 0 then list_reverse(features) else features end as v from features) s""", "v"), ("features",))
 def _(spark, sf):

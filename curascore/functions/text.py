@@ -218,15 +218,22 @@ def escape_output(c: Column | str) -> Column:
     body = out
     for char, shown in _ESCAPES:
         body = F.replace(body, F.lit(char), F.lit(shown))
-    # Only texts with other unprintable characters are taken apart.
-    chars = F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0))
-    coded = F.transform(chars, lambda x: F.when(F.rlike(x, F.lit(UNPRINTABLE)), _code_escape(x)).otherwise(x))
-    body = F.when(F.rlike(body, F.lit(UNPRINTABLE)), F.array_join(coded, "")).otherwise(body)
-    single, double = F.contains(out, F.lit("'")), F.contains(out, F.lit('"'))
-    return (
-        F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))
-        .otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
-    )
+
+    def shown_as(body: Column) -> Column:
+        # Only texts with other unprintable characters are taken apart.
+        chars = F.regexp_extract_all(body, F.lit("(?s)."), F.lit(0))
+        coded = F.transform(chars, lambda x: F.when(F.rlike(x, F.lit(UNPRINTABLE)), _code_escape(x)).otherwise(x))
+        return F.when(F.rlike(body, F.lit(UNPRINTABLE)), F.array_join(coded, "")).otherwise(body)
+
+    def quoted(body: Column) -> Column:
+        single, double = F.contains(out, F.lit("'")), F.contains(out, F.lit('"'))
+        return (
+            F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))
+            .otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        )
+
+    # Each step is computed once and used several times.
+    return let(let(body, shown_as), quoted)
 
 
 def number_text(c: Column | str) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from curascore.functions.hashing import col_of, hex_word, seed_key
 from curascore.functions.lets import let
-from curascore.functions.text import decode_choice, first_contained, parse_output, parse_zero_shot
+from curascore.functions.prompts import instruction
+from curascore.functions.text import decode_choice, escape_output, first_contained, parse_output, parse_zero_shot
 from curascore.operators.class_stream import chunk_parts, past_chunks
-from curascore.operators.labels import encode_labels, label_list
+from curascore.operators.labels import encode_labels, label_list, listed
 from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.session import scratch_path
-from curascore.settings import CHOICE_KEYS, EVALUATION_SEED, FALSE_PARSE
+from curascore.settings import CHOICE_KEYS, CONTEXT_INSTRUCTION, EVALUATION_SEED, FALSE_PARSE
 
 MAX_BRANCHES = 512  # labels searched by one compiled expression
 BLOCK_CHARS = 2_000_000  # of labels in one automaton
@@ -76,6 +77,23 @@ def build_choices(df: DataFrame, vocab: DataFrame | Dimension, seed: int = EVALU
     return out.select(*df.columns, options.alias("options"))
 
 
+def with_instruction(df: DataFrame, vocab: DataFrame | Dimension, regime: str = "regime", options: str = "options", name: str = "instruction") -> DataFrame:
+    """Add the system text of each row's regime, for a vocabulary of any size.
+
+    The text that lists the labels is the same for all rows: it is put together once, from the blocks of the list, and
+    joined as a table of one row, instead of being a literal with every label in the plan.
+    """
+    shown = F.transform("labels", escape_output)
+    pieces = listed(vocab, "list_pos").select("first", F.array_join(shown, ", ").alias("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda p: p["text"])
+    one = pieces.agg(F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]")).alias("_labels")).withColumn("_one", F.lit(1))
+    rows = lookup_join(df.withColumn("_one", F.when(F.col(regime) == "context", 1)), one, "_one", "left")
+    text = instruction(F.col(regime), [], F.col(options) if options in df.columns else None)
+    before, after = CONTEXT_INSTRUCTION.split("{labels}")
+    text = F.when(F.col(regime) == "context", F.concat(F.lit(before), F.col("_labels"), F.lit(after))).otherwise(text)
+    return rows.withColumn(name, text).drop("_one", "_labels")
+
+
 def context_match(df: DataFrame, classes: DataFrame | Dimension, output: str = "output", name: str = "label") -> DataFrame:
     """First label in list order that occurs in the output, else ``false_parse``.
 

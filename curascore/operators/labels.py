@@ -10,6 +10,8 @@ from curascore.operators.lookup import Dimension, bounded, lookup_join
 from curascore.operators.positions import positions, segmented_positions
 from curascore.settings import FALSE_PARSE, FALSE_PARSE_ID, LAB, MAIN
 
+LIST_BLOCK = 1_024  # labels in a row of a stored list
+
 
 def source_view(df: DataFrame, source: str) -> DataFrame:
     return df.where(F.col("source") == source)
@@ -135,6 +137,41 @@ def distractor_candidates(df: DataFrame, labels: list[str], label: str = "crop_d
     return df.withColumn("candidates", F.array_except(vocab, F.array(F.col(label))))
 
 
+def listed(vocab: DataFrame | Dimension, order: str = "class_id") -> DataFrame:
+    """The vocabulary as blocks of a list: (list_id, first, labels), ``LIST_BLOCK`` labels in list order per block.
+
+    ``order`` is a column of positions 0..n-1. The id is a digest of all labels with their positions, so equal lists
+    share it whatever table they come from.
+    """
+    rows = bounded(vocab).frame.select("label", F.col(order).cast("long").alias("_pos"))
+    digest = rows.agg(F.concat_ws("-", F.count("*").cast("string"), F.hex(F.bit_xor(F.xxhash64("label", "_pos"))),
+                                  F.hex(F.sum(F.hash("label", "_pos").cast("long")))).alias("id")).first()["id"]
+    blocks = rows.groupBy((F.floor(F.col("_pos") / LIST_BLOCK) * LIST_BLOCK).alias("first")).agg(F.array_sort(F.collect_list(F.struct("_pos", "label"))).alias("_l"))
+    return blocks.select(F.lit(digest).alias("list_id"), "first", F.col("_l.label").alias("labels"))
+
+
+def distractor_references(df: DataFrame, vocab: DataFrame | Dimension, label: str = "crop_disease_label", order: str = "class_id") -> tuple[DataFrame, DataFrame]:
+    """(rows, list): every row with ``list_id`` and ``left_out``, the list position of its true label, and the list.
+
+    What a row is offered is the list without that position: two numbers instead of all labels, whatever the size of
+    the vocabulary. A label that is not in it leaves nothing out (null). ``distractors`` writes the labels out.
+    """
+    table = bounded(vocab)
+    blocks = listed(table, order)
+    first = blocks.select("list_id").first()
+    places = Dimension(table.frame.select(F.col("label").alias(label), F.col(order).cast("long").alias("left_out")), table.rows)
+    return lookup_join(df, places, label, "left").withColumn("list_id", F.lit(first["list_id"] if first else None).cast("string")), blocks
+
+
+def distractors(refs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of ``distractor_references`` written out, where they are used: ``candidates`` of a row, one array per block
+    of its list, with ``first``, the block's place in the list. A block that is left empty gives no row."""
+    lists = bounded(blocks)
+    rows = lookup_join(refs.withColumn("_id", F.col("list_id")).drop("list_id"), Dimension(lists.frame.withColumnRenamed("list_id", "_id"), lists.rows), "_id")
+    kept = F.filter("labels", lambda x, i: F.coalesce(F.col("first") + i != F.col("left_out"), F.lit(True)))
+    return rows.withColumn("candidates", kept).where(F.size("candidates") > 0).drop("labels").withColumnRenamed("_id", "list_id")
+
+
 def label_list(vocab: DataFrame | Dimension, order: str | None = None) -> list[str] | None:
     """The labels as a Python list for use in expressions; None when the vocabulary is not proven small.
 

@@ -33,11 +33,11 @@ def load_samples(spark: SparkSession, path: str, split: str | None = None, schem
     return df if split is None else df.where(F.col("split") == split)
 
 
-def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTPUT_SCHEMA, multi_line: bool = True) -> DataFrame:
-    """Parsed-output CSV with a header; quoted fields may hold line breaks and doubled quotes.
+def read_outputs_csv(spark: SparkSession, path: str, schema: T.StructType = OUTPUT_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Parsed-output CSV with a header; quoted fields may hold doubled quotes.
 
-    A file with line breaks in fields is read by one task; pass ``multi_line=False`` for files whose outputs
-    are escaped to one line, which can be split.
+    Outputs are expected as ``escape_output`` writes them, on one line, so that a large file is split over tasks.
+    ``multi_line=True`` reads raw outputs with line breaks in quoted fields; a file of these is one task's work.
     """
     return (
         spark.read.schema(schema)

@@ -31,7 +31,7 @@ def test_outputs_csv_keeps_text(spark, tmp_path):
     texts = [" lead", "two\nlines", 'a "quoted", one', "back\\slash\\n", "tail "]
     df = spark.createDataFrame([(i, f"l{i}", t) for i, t in enumerate(texts)], readers.OUTPUT_SCHEMA)
     writers.write_csv(df, str(tmp_path / "o"), ["True Label", "True Label (Text)", "Parsed Output"])
-    back = readers.read_outputs_csv(spark, str(tmp_path / "o")).orderBy("True Label").collect()
+    back = readers.read_outputs_csv(spark, str(tmp_path / "o"), multi_line=True).orderBy("True Label").collect()
     assert [r["Parsed Output"] for r in back] == texts
 
 
