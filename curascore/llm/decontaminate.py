@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from curascore.llm.base import query, table
+from curascore.llm.base import query, stored, table
 from curascore.llm.words import Words, alphanumeric, byte_texts, chunks, lowered, mix, runs_of
 
 WINDOW_WORDS = 13
@@ -180,10 +180,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(*(F.col(c) for c in dict.fromkeys((*carry, "text"))), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    passes = (sc.broadcast(tables(block, window)) for block in blocks(benchmark, block_bytes))
-    shared = next(passes, None)
-    for following in passes:
-        rows, shared = _pass(rows, shared, list(dict.fromkeys((*carry, "text")))), following
+    shared = None
+    for block in blocks(benchmark, block_bytes):
+        if shared is not None:
+            # The marks so far are written, so that a task has one worker with one block's tables at a time.
+            rows = stored(_pass(rows, shared, list(dict.fromkeys((*carry, "text")))).drop("n_words", "n_hit"), "marks")
+            shared.unpersist()
+        shared = sc.broadcast(tables(block, window))
     rows = _pass(rows, shared, list(carry))
     return rows.select(*carry, "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 

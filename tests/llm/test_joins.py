@@ -125,6 +125,9 @@ def test_contamination_equals_brute_force(spark, make, block):
     bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, hits string")
     got = contamination(make([(*r, "en", "a") for r in docs]), bench, block_bytes=block).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_contamination(docs, items)
+    # Passes are written one by one, however many blocks there are.
+    plan = contamination(make([(1, "ab", "en", "a")]), bench, block_bytes=block)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
     assert contamination(make([]), bench).count() == 0
     clean = contamination(make(ODD), bench.limit(0)).where("n_hit > 0 or contaminated or n_words is null")
     assert clean.count() == 0
