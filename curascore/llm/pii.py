@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from curascore.llm.base import query, stored, table
 from curascore.llm.secrets import digest_columns
-from curascore.llm.spans import kept, labelled, matches
+from curascore.llm.spans import BASE_SPAN, kept, labelled, matches, touching
 
 # Anchors and possessive marks keep long runs linear; they match what the plain expressions match.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -50,9 +50,9 @@ def _ip(hit: Column) -> Column:
         F.split(hit, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(999)) <= 255)
 
 
-def base_spans(text: Column) -> Column:
-    return F.concat(labelled(kept(text, EMAIL), "email", 0), labelled(kept(text, IP, _ip), "ip", 1), labelled(kept(text, CARD, _card), "card", 2),
-                    labelled(kept(text, PHONE, lambda h: F.length(_digits(h)).between(10, 15)), "phone", 3))
+def base_spans(text: Column, hits: bool = False) -> Column:
+    parts = [(EMAIL, None), (IP, _ip), (CARD, _card), (PHONE, lambda h: F.length(_digits(h)).between(10, 15))]
+    return F.concat(*[labelled(kept(text, pattern, keep), kind, rank, hits) for rank, (kind, (pattern, keep)) in enumerate(zip(KINDS, parts, strict=True))])
 
 
 def instances(text: Column) -> Column:
@@ -98,17 +98,19 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     """
     text = F.coalesce("text", F.lit(""))
     scanned = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
-        "doc_id", "text", base_spans(F.col("text")).alias("base"), instances(F.col("text")).alias("tokens"),
+        "doc_id", "text", base_spans(F.col("text"), hits=True).alias("base"), instances(F.col("text")).alias("tokens"),
         F.when(F.regexp_like("text", F.lit("[0-9]")), F.md5("text")).alias("key"))
-    def labelled_token(t: Column) -> Column:
-        seed = F.get(F.filter("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])), F.lit(0))
+
+    def labelled_token(met: Column) -> Column:
+        t, seed = met["span"], met["base"]
         # Tokens of one base find are the same instance: the whole find.
-        whole = F.lower(F.substr("text", seed["start"] + 1, seed["end"] - seed["start"]))
+        whole = F.lower(seed["hit"])
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.coalesce(whole, t["value"]).alias("value"),
                         t["patterns"].alias("patterns"), seed["kind"].alias("kind"))
 
-    tokens = F.transform("tokens", labelled_token)
-    rows = stored(scanned.withColumn("tokens", tokens).drop("text"), "personal")
+    tokens = F.transform(touching(F.col("tokens"), F.col("base"), BASE_SPAN.replace(">", ",hit:string>")), labelled_token)
+    plain = F.transform("base", lambda m: F.struct(*(m[f].alias(f) for f in ("start", "rank", "end", "kind"))))
+    rows = stored(scanned.select("doc_id", plain.alias("base"), tokens.alias("tokens"), "key"), "personal")
     each = rows.select("key", F.explode("tokens").alias("t")).select("key", "t.*")
     found = bootstrap(each.select(F.explode("patterns").alias("pattern"), "value", "kind"), rounds, min_seeds, min_score)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found")).cast("int") + len(KINDS) - 1

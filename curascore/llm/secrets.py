@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curascore.llm.base import query, stored, table
-from curascore.llm.spans import kept, labelled, matches, written
+from curascore.llm.spans import BASE_SPAN, kept, labelled, matches, touching, written
 
 # Anchors and possessive marks keep long runs linear; they match what the plain expressions match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -68,7 +68,8 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     scanned = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
         "doc_id", "text", base_spans(F.col("text")).alias("base"), weak_parts(F.col("text")).alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
+    met = touching(F.array_sort("weak"), F.col("base"), BASE_SPAN)
+    free = F.transform(F.filter(met, lambda x: x["base"].isNull()), lambda x: x["span"])
     rows = stored(
         scanned.withColumn("weak", free).select(
             "doc_id", "base", "weak", F.when((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1), F.md5("text")).alias("key")),

@@ -259,3 +259,54 @@ def test_contract_columns(spark):
     found = REGISTRY["op4_nearest_neighbours"].run(spark, SF)
     assert dict(found.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
     assert found.select(F.max("rank")).first()[0] == 20
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    from curascore.llm import pii, secrets
+    from curascore.llm.spans import matches
+
+    n = 200_000
+    text = " ".join(f"10.0.{i % 256}.{i % 200} v{i}" for i in range(n // 2))
+    df = spark.createDataFrame([(1, text), (2, "short 10.0.0.1")], "doc_id long, text string")
+    df.select(matches(F.col("text"), r"[0-9]+").alias("m")).collect()  # compiled once
+    start = time.time()
+    found = df.where("doc_id = 1").select(matches(F.col("text"), r"\S+").alias("m")).select(F.size("m").alias("n"), F.element_at("m", -1)["end"].alias("end")).first()
+    assert (found["n"], found["end"]) == (n, len(text)) and time.time() - start < 10
+    start = time.time()
+    rows = {r["doc_id"]: r for r in pii.digest_columns(pii.personal_data(df), pii.KINDS).collect()}
+    assert rows[1]["n_ip"] == n // 2 and rows[2]["n_ip"] == 1
+    hexes = "\n".join(f"token={i:024x} host{i}.internal" for i in range(40_000))
+    rows = {r["doc_id"]: r for r in secrets.digest_columns(secrets.secrets(spark.createDataFrame([(1, hexes)], "doc_id long, text string")), secrets.KINDS).collect()}
+    assert rows[1]["n_assign"] == 40_000 and rows[1]["n_hex"] == 40_000
+    print("whole scans", time.time() - start)
+    assert time.time() - start < 120
+
+
+def test_running_and_touching_equal_loops(spark, monkeypatch):
+    import random
+
+    from curascore.llm import spans
+
+    monkeypatch.setattr(spans, "SCAN_BLOCK", 4)
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        base = sorted((s, rng.randrange(4), s + rng.randrange(1, 6), "k") for s in (rng.randrange(40) for _ in range(rng.randrange(12))))
+        own, at = [], 0
+        for _ in range(rng.randrange(12)):
+            at += rng.randrange(4)
+            end = at + rng.randrange(1, 5)
+            own.append((at, end))
+            at = end
+        rows.append((i, [rng.randrange(-9, 9) for _ in range(rng.randrange(30))], base, own))
+    df = spark.createDataFrame(rows, f"id int, v array<int>, base array<{spans.BASE_SPAN}>, own array<struct<start:int,end:int>>")
+    got = df.select("id", spans.running(F.col("v"), lambda a, b: a + b).alias("sums"), spans.running(F.col("v"), F.greatest).alias("tops"),
+                    spans.touching(F.col("own"), F.col("base"), spans.BASE_SPAN).alias("met")).collect()
+    for r, (_, v, base, own) in zip(sorted(got), rows, strict=True):
+        assert r["sums"] == [sum(v[: k + 1]) for k in range(len(v))] and r["tops"] == [max(v[: k + 1]) for k in range(len(v))]
+        assert [(x["span"]["start"], x["span"]["end"]) for x in r["met"]] == own
+        for x, (s, e) in zip(r["met"], own, strict=True):
+            hits = [b for b in base if s < b[2] and b[0] < e]
+            assert (x["base"] is None) == (not hits) and (not hits or tuple(x["base"]) in hits)
