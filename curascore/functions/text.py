@@ -262,6 +262,7 @@ def parse_run_name(path: Column | str, tag: str = "model_exp") -> Column:
     """struct(model, learning_rate, batch_size, experiment_id) from ``{model}_{tag}_{lr}_{batch}`` or
     ``{model}_{tag}_{id}``; ``model`` is null for any other name."""
     stem = file_stem(path)
+    # --- fixed values: the two forms of run names ---
     full = rf"^([^_]+)_{re.escape(tag)}_(\d*\.?\d+(?:e-?\d+)?)_(\d+)$"
     short = rf"^([^_]+)_{re.escape(tag)}_(\d+)$"
     is_full = F.regexp_extract(stem, full, 1) != ""
