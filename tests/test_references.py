@@ -102,3 +102,18 @@ def test_grid_of_classes_and_runs(spark, monkeypatch):
     monkeypatch.setattr(M, "MAX_RANGES", 2)
     with pytest.raises(ValueError, match="ranges"):
         M.class_grid(runs, classes)
+
+
+def test_published_class_list_decodes_both_ways(spark):
+    from curascore.settings import CLASS_LIST, FALSE_PARSE_ID
+
+    pairs = [(c, d) for c, diseases in CLASS_LIST.items() for d in diseases]
+    assert len(pairs) == FALSE_PARSE_ID
+    df = L.with_label(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "crop string, disease string, place int"))
+    places = F.element_at(F.create_map(*[x for i, (c, d) in enumerate(pairs) for x in (F.lit(f"{c.lower()}_{d}"), F.lit(i))]), F.col("label"))
+    table = L.class_table(df, places)
+    sorted_ids = {x: i for i, x in enumerate(sorted(f"{c.lower()}_{d}" for c, d in pairs))}
+    assert {r["label"]: (r["class_id"], r["list_pos"]) for r in table.collect()} == {f"{c.lower()}_{d}": (sorted_ids[f"{c.lower()}_{d}"], i) for i, (c, d) in enumerate(pairs)}
+    listed = table.select("label", F.col("list_pos").alias("class_id"))
+    back = L.decode_labels(df.withColumn("class_id", F.col("place")), listed, name="decoded")
+    assert back.where("decoded <> crop_disease_label or decoded is null").count() == 0
