@@ -206,8 +206,9 @@ def test_toxicity_held_out(spark, make):
             for _ in range(2):
                 words.insert(rng.randrange(len(words)), rng.choice(bad) if rng.random() < 0.7 else "lowly" + rng.choice("abcdefgh") + rng.choice("abcdefgh"))
         rows.append((i, " ".join(words), int(toxic)))
-    learn = spark.createDataFrame([r[1:] for r in rows[:2400]], "text string, toxic int")
-    scored = {r["doc_id"]: r["score"] for r in toxicity(make([(i, t, "en", "a") for i, t, _ in rows[2400:]] + ODD), learn).collect() if r["doc_id"] is not None}
+    learn = spark.createDataFrame([(i + 10_000, y) for i, _, y in rows[:2400]], "doc_id long, toxic int")
+    docs = make([(i + 10_000, t, "en", "a") for i, t, _ in rows[:2400]] + [(i, t, "en", "a") for i, t, _ in rows[2400:]] + ODD)
+    scored = {r["doc_id"]: r["score"] for r in toxicity(docs, learn).collect() if r["doc_id"] is not None}
     tested = rows[2400:]
     assert np.mean([(scored[i] >= 0.5) == bool(y) for i, _, y in tested]) > 0.95
     assert all(0 <= s <= 1 for s in scored.values()) and scored[2] < 0.5
