@@ -52,7 +52,7 @@ CALIBRATION_SHARE = 0.25  # of the labelled rows, at most
 _START = mix(np.array([0x5EED], np.uint64))[0]
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SHARES = 1_000_000
-_GRAMS, _WORDS = 0, 1  # what parts are asked for
+_GRAMS, _WORDS, _OWNED = 0, 1, 2  # what parts are asked for, and what owners are told
 
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("doc_id", "none", "fold", "sizes", "words", "at"))])
 _BLOCK = "block long, doc_id binary, none binary, fold binary, sizes binary, words binary, at binary"
@@ -165,9 +165,9 @@ def _asked(kind: int, block: int, keys: np.ndarray, counts: list[np.ndarray], bi
             for a, b in zip(first, [*first[1:], len(part)], strict=True)]
 
 
-def _tell(group: pa.Table, continued: int) -> pa.Table:
-    """Sums of the counts in one range for each block that asked. Bigrams: counts per class and whether the block owns
-    it. Words: the sums alone, and once per range their totals over all words of the range."""
+def _tell(group: pa.Table, discount: int, continued: int) -> pa.Table:
+    """Sums of the counts in one range for each block that asked, and once per range of words their totals. Apart from the
+    sums of bigrams the first block to ask for one, its owner, is told what the discount takes off it, others 0."""
     rows = group.to_pylist()
     kind = rows[0]["kind"]
     keys = [unpack(r["keys"], ascending=True) for r in rows]
@@ -183,8 +183,10 @@ def _tell(group: pa.Table, continued: int) -> pa.Table:
         own[first[total.any(0)]] = 1
     out = []
     for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
-        told = [t[inverse[a:b]] for t in total] + ([own[a:b]] if kind == _GRAMS else [])
+        told = [t[inverse[a:b]] for t in total]
         out.append((r["block"], kind, r["first"], None, None, _packs(told), None))
+        if kind == _GRAMS:
+            out.append((r["block"], _OWNED, r["first"], None, None, _packs([np.minimum(t, discount) * own[a:b] for t in told]), None))
     if kind == _WORDS:
         # Contexts per class and shared, what the discount takes off them per class, and the words that have some.
         sums = [*total[4:7].sum(1).tolist(), *np.minimum(total[4:6], continued).sum(1).tolist(), int((total[6] > 0).sum())]
@@ -301,11 +303,10 @@ def described(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, cont
         if not left.num_rows:
             return _table([], _ASKED_ARROW)
         at, block, _ = opened(left, right)
-        grams = _answers(right, _GRAMS, len(block.grams), 3)
+        owned = _answers(right, _OWNED, len(block.grams), 2)
         add = lambda place, weight: np.bincount(place, weight, len(block.words)).astype(np.int64)
-        own = grams[2]
-        sums = [*(add(block.left, c) for c in block.counts()), *(add(block.left, np.minimum(c, discount) * own) for c in grams[:2]),
-                *(add(block.right, (c > 0) * own) for c in grams[:2]), add(block.right, own)]
+        sums = [*(add(block.left, c) for c in block.counts()), *(add(block.left, c) for c in owned), *(add(block.right, c > 0) for c in owned),
+                add(block.right, owned.any(0))]
         order = np.argsort(block.words)
         return _table(_asked(_WORDS, at, block.words[order], [s[order] for s in sums], 64, parts), _ASKED_ARROW)
 
@@ -313,10 +314,10 @@ def described(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, cont
         return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, schema)
 
     def answered(told: DataFrame, ask, tag: str) -> DataFrame:
-        return stored(meet(told, ask, _ASKED).groupBy("kind", "part").applyInArrow(lambda g: _tell(g, continued), _TOLD), tag)
+        return stored(meet(told, ask, _ASKED).groupBy("kind", "part").applyInArrow(lambda g: _tell(g, discount, continued), _TOLD), tag)
 
     grams = answered(known, ask_grams, "bigrams")
-    words = answered(known.union(grams), ask_words, "words")
+    words = answered(known.union(grams.where(F.col("kind") == _OWNED)), ask_words, "words")
     sums = words.where("block is null").select(*(F.sum(F.get("totals", F.lit(k))).alias(str(k)) for k in range(6))).first()
     totals = [s or 0 for s in sums]
 
@@ -324,16 +325,16 @@ def described(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, cont
         if not left.num_rows:
             return _table([], _DESCRIBED_ARROW)
         _, block, fit = opened(left, right)
-        of_grams, by_hash = _answers(right, _GRAMS, len(block.grams), 3), _answers(right, _WORDS, len(block.words), 7)
+        of_grams, by_hash = _answers(right, _GRAMS, len(block.grams), 2), _answers(right, _WORDS, len(block.words), 7)
         of_words = np.empty_like(by_hash)
         of_words[:, np.argsort(block.words)] = by_hash
-        logs, lower = (x[:, block.gram] for x in log_likelihoods(of_grams[:2], of_words, block.left, block.right, totals, discount, continued))
-        x = describe([logs[1] - logs[0], lower[1] - lower[0]], of_grams[:2].any(0)[block.gram], block.bounds)
+        logs, lower = (x[:, block.gram] for x in log_likelihoods(of_grams, of_words, block.left, block.right, totals, discount, continued))
+        x = describe([logs[1] - logs[0], lower[1] - lower[0]], of_grams.any(0)[block.gram], block.bounds)
         both = np.stack([np.bincount(block.doc, v, len(block.sizes)) for v in logs], 1)
         return pa.Table.from_arrays([pa.array(block.ids, mask=block.null), pa.array(fit, pa.int32(), mask=fit < 0), pa.array(list(x), pa.list_(pa.float64())),
                                      pa.array(list(both), pa.list_(pa.float64()))], schema=_DESCRIBED_ARROW)
 
-    return stored(meet(known.union(grams).union(words.where("block is not null")), tell_texts, _DESCRIBED), "described")
+    return stored(meet(known.union(grams.where(F.col("kind") == _GRAMS)).union(words.where("block is not null")), tell_texts, _DESCRIBED), "described")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, continued: int = CONTINUED) -> DataFrame:
