@@ -20,7 +20,7 @@ two log-likelihoods, under p and under the lower order q, and by its most tellin
 4. Each block meets its answers and describes its texts. Counts stay in tables that grow with the input; the driver
    holds the totals over all words and the rows of the fit only.
 
-Bigrams are told apart by as many bits of a 64-bit hash as the bytes of the texts have, and 16 more.
+Words and bigrams are told apart by as many bits of a 64-bit hash as the bytes of the texts have, and 16 more.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def _blocks(batches, tokens: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, tokens: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``(doc_id, text)`` as blocks of about so many words: ids, share places, numbers of words, distinct words and their places."""
     held: list[tuple] = []
     made = 0
@@ -101,7 +101,7 @@ def _blocks(batches, tokens: int) -> Iterator[pa.RecordBatch]:
             words, part = Words(texts[a:b], member, fold), ids.slice(a, b - a)
             share = np.fromiter((zlib.crc32(t) % _SHARES for t in texts[a:b]), np.uint64, b - a)
             held.append((part.is_null().to_numpy(zero_copy_only=False).astype(np.uint64), part.fill_null(0).to_numpy().astype(np.int64), share,
-                         np.diff(words.bounds).astype(np.uint64), words.hashes))
+                         np.diff(words.bounds).astype(np.uint64), words.hashes >> np.uint64(64 - bits)))
             total += len(words.hashes) + b - a
             if total >= tokens:
                 yield flush()
@@ -116,7 +116,7 @@ class Block:
     def __init__(self, row: dict, bits: int, toxic: np.ndarray | None = None):
         self.null, self.ids = unpack(row["none"]).astype(bool), unpack(row["doc_id"]).view(np.int64)
         self.sizes, self.fold = unpack(row["sizes"]).astype(np.int64), unpack(row["fold"]).astype(np.int64)
-        self.words = np.concatenate([[_START], unpack(row["words"])])
+        self.words = np.concatenate([[_START >> np.uint64(64 - bits)], unpack(row["words"])])
         self.word = unpack(row["at"]).astype(np.int64) + 1
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -271,7 +271,7 @@ def described(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, cont
     parts, bits = max(6, -(-size // PART_BYTES)), min(64, max(32, int(size).bit_length() + SPARE_BITS))
     path = scratch_path(spark, "texts")
     name = f"texts_{path[-32:]}"
-    rows.mapInArrow(lambda b: _blocks(b, tokens), _BLOCK).write.bucketBy(max(6, -(-size // BUCKET_BYTES)), "block").option("path", path).saveAsTable(name)
+    rows.mapInArrow(lambda b: _blocks(b, tokens, bits), _BLOCK).write.bucketBy(max(6, -(-size // BUCKET_BYTES)), "block").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
 
     labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("byte").alias("toxic"))
@@ -308,7 +308,7 @@ def described(docs: DataFrame, labels: DataFrame, discount: int = DISCOUNT, cont
         sums = [*(add(block.left, c) for c in block.counts()), *(add(block.left, c) for c in owned), *(add(block.right, c > 0) for c in owned),
                 add(block.right, owned.any(0))]
         order = np.argsort(block.words)
-        return _table(_asked(_WORDS, at, block.words[order], [s[order] for s in sums], 64, parts), _ASKED_ARROW)
+        return _table(_asked(_WORDS, at, block.words[order], [s[order] for s in sums], bits, parts), _ASKED_ARROW)
 
     def meet(told: DataFrame, ask, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, schema)
