@@ -100,6 +100,8 @@ def _rows(kind: int, part: list[int], e: list[bytes | None], f: list[bytes | Non
 
 def _split(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
     """The columns of each part that has entries."""
+    if not len(part):
+        return []
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))

@@ -89,6 +89,13 @@ def test_jaccard_empty(make):
     assert jaccard_components(make([])).count() == 0
 
 
+def test_jaccard_without_shared_shingles(make):
+    """Ranges of hashes in which no shingle is shared send nothing on."""
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(n)), "en", "a") for i, n in enumerate([1, 3, 5, 40, 700])]
+    got = jaccard_components(make(rows)).drop("class").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 36, 3), (4, 696, 4)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (None, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
