@@ -4,6 +4,9 @@
 2. Shingles are dealt out by hash to count the classes that hold each. A shingle of one class only cannot be shared;
    what remains goes back to its class. Shingles found often within one batch are taken as frequent there and then:
    only a mark travels by hash, so no task gathers a shingle that a third of all texts hold.
+   This is done in two rounds. The first one deals the lowest third of all hash values, of every class. A class that has
+   more than ``n - ceil(t n)`` shingles to itself in that third alone cannot be linked, whatever the rest holds. The
+   second one deals the other hash values of the classes that are left, which are all that a link can join.
 3. Order every set from rare to frequent. Linked sets share one of their first ``n - ceil(t n) + 1`` shingles, so a
    class whose first shingles are all its own is done. The others collapse into groups with the same size and prefix.
 4. Groups that share a prefix shingle and fit in size are paired, expanded to member classes and verified on the
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,6 +39,8 @@ FREQUENT = 48  # classes of one flush that make a shingle frequent
 FREQUENT_DF = 2**31 - 1
 STAR_PIVOTS = 6
 LONG_LIST, BLOCK = 64, 192  # lists above are compared block by block, with so many classes in a block
+SLOTS = 1 << 24  # bits of the table that names the texts of the second round; where they are few, more texts pass it
+HASHES = 1 << 32  # ranges of hashes are bounded by their upper halves
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -56,8 +62,8 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_DEALT = "kind int, part int, doc_id long, n int, class long, e binary, f binary"
-_DEALT_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), ("e", pa.binary()), ("f", pa.binary())])
+_DEALT = "kind int, part int, doc_id long, n int, low int, class long, t long, e binary, f binary"
+_DEALT_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("low", pa.int32()), ("class", pa.int64()), ("t", pa.int64()), ("e", pa.binary()), ("f", pa.binary())])
 _DOC, _ENTRY, _HOT = 0, 1, 2
 
 
@@ -66,7 +72,7 @@ def pack_entries(h: np.ndarray, c: np.ndarray, s: np.ndarray, d: np.ndarray | No
     once, with each entry the place of its class; about half of what the plain columns take."""
     order = np.argsort(h, kind="stable")
     classes, first, place = np.unique(c[order], return_index=True, return_inverse=True)
-    parts = [pack(h[order], ascending=True), pack(classes.view(np.uint64), ascending=False), pack(s[order][first]), pack(place)]
+    parts = [pack(h[order], ascending=True), pack(classes.view(np.uint64), ascending=True), pack(s[order][first]), pack(place)]
     if d is not None:
         parts.append(pack(d[order]))
     return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
@@ -84,7 +90,7 @@ def unpack_entries(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray,
         if parts:
             h, place = unpack(parts[0], ascending=True), unpack(parts[3]).astype(np.int64)
             found[0].append(h)
-            found[1].append(unpack(parts[1]).view(np.int64)[place])
+            found[1].append(unpack(parts[1], ascending=True).view(np.int64)[place])
             found[2].append(unpack(parts[2]).astype(np.int32)[place])
             found[3].append(unpack(parts[4]).astype(np.int32) if len(parts) > 4 else np.zeros(len(h), np.int32))
     h, c, s, d = (np.concatenate(x) for x in found)
@@ -94,8 +100,8 @@ def unpack_entries(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray,
 def _rows(kind: int, part: list[int], e: list[bytes | None], f: list[bytes | None]) -> pa.RecordBatch:
     n = len(part)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(part, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
-         pa.nulls(n, pa.int64()), pa.array(e, pa.binary()), pa.array(f, pa.binary())], schema=_DEALT_ARROW)
+        [pa.array(np.full(n, kind, np.int32)), pa.array(part, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+         pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(e, pa.binary()), pa.array(f, pa.binary())], schema=_DEALT_ARROW)
 
 
 def _split(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
@@ -109,50 +115,77 @@ def _split(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[np.nd
     return [(int(part[a]), [x[a:b] for x in columns]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
 
 
-def _deal(batches, parts: int, size: int):
-    """Doc rows as they are, and for each part the entries (hash, class, set size) of its range of hashes."""
+def _by_class(c: np.ndarray, parts: int) -> np.ndarray:
+    return (c.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+
+
+def _deal(batches, parts: int, ranges: int, size: int, lo: int, hi: int, wanted: np.ndarray | None = None):
+    """For each of ``ranges`` of the hashes from ``lo`` to ``hi`` its entries (hash, class, set size), and doc rows.
+
+    Ranges follow each other, so what an entry's hash takes does not depend on their number. The first doc row that a
+    task makes of a class goes to the class's part and names its text; copies are spread. With ``wanted``, a table of
+    bits, only texts with their bit set are looked at and there are no doc rows.
+    """
     seen: set[int] = set()
-    held: list[tuple[np.ndarray, int]] = []
+    held: list[tuple[np.ndarray, int, int]] = []
+    copies = 0
+
+    def range_of(h: np.ndarray) -> np.ndarray:
+        return (((h >> np.uint64(32)) - np.uint64(lo)) * np.uint64(ranges) // np.uint64(hi - lo)).astype(np.int32)
 
     def flush():
-        h = np.concatenate([x for x, _ in held])
-        sizes = [len(x) for x, _ in held]
-        c = np.repeat(np.array([k for _, k in held], np.int64), sizes)
-        s = np.repeat(np.array(sizes, np.int32), sizes)
+        h = np.concatenate([x for x, _, _ in held])
+        at = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x, _, _ in held])
+        classes, sizes = np.array([c for _, c, _ in held], np.int64), np.array([n for _, _, n in held], np.int32)
         held.clear()
-        values, count = np.unique(h, return_counts=True)
-        often = values[count >= FREQUENT]
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        count = np.diff(np.append(first, len(h)))
+        often = h[first[count >= FREQUENT]]
         if len(often):
-            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-            hot = often[at] == h
-            dealt = _split((c[hot].view(np.uint64) % np.uint64(parts)).astype(np.int32), h[hot], c[hot], s[hot])
+            hot = np.repeat(count >= FREQUENT, count)
+            c = classes[at[hot]]
+            dealt = _split(_by_class(c, parts), h[hot], c, sizes[at[hot]])
             yield _rows(_HOT, [p for p, _ in dealt], [pack_entries(*x) for _, x in dealt], [None] * len(dealt))
-            dealt = _split(((often >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), often)
+            dealt = _split(range_of(often), often)
             yield _rows(_ENTRY, [p for p, _ in dealt], [None] * len(dealt), [x.tobytes() for _, (x,) in dealt])
-            h, c, s = h[~hot], c[~hot], s[~hot]
-        dealt = _split(((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), h, c, s)
-        yield _rows(_ENTRY, [p for p, _ in dealt], [pack_entries(*x) for _, x in dealt], [None] * len(dealt))
+            h, at = h[~hot], at[~hot]
+        part = range_of(h)
+        bounds = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(h)]
+        pieces = list(zip(bounds[:-1], bounds[1:], strict=True))
+        yield _rows(_ENTRY, [int(part[a]) for a, _ in pieces], [pack_entries(h[a:b], classes[at[a:b]], sizes[at[a:b]]) for a, b in pieces], [None] * len(pieces))
 
     total = 0
     for batch in batches:
-        classes, counts = [], []
-        for shingles in shingle_sets(byte_texts(batch.column("text")), size):
-            key = class_of(shingles)
-            classes.append(key)
-            counts.append(len(shingles))
-            if len(shingles) and key not in seen:
-                seen.add(key)
-                held.append((shingles, key))
-                total += len(shingles)
-                if total >= FLUSH:
-                    yield from flush()
-                    total = 0
-        n = len(classes)
-        blank = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, _DOC, np.int32)), pa.array(np.array(classes, np.int64).view(np.uint64) % np.uint64(parts), pa.uint64()).cast(pa.int32()),
-             batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(classes, pa.int64()), blank, blank],
-            schema=_DEALT_ARROW)
+        if wanted is not None:
+            slot = batch.column("t").to_numpy() & (SLOTS - 1)
+            batch = batch.filter(pa.array(wanted[slot >> 6] >> (slot & 63) & 1 == 1))
+        made: list[tuple[int, int, int, int, int | None]] = []
+        for t, shingles in zip(batch.column("t").to_pylist(), shingle_sets(byte_texts(batch.column("text")), size), strict=True):
+            key, n, low = class_of(shingles), len(shingles), 0
+            if key in seen:
+                made.append((copies % parts, n, low, key, None))
+                copies += 1
+                continue
+            seen.add(key)
+            if n:
+                a, b = np.searchsorted(shingles >> np.uint64(32), np.array([lo, hi], np.uint64))
+                low = int(b - a)
+                if low:
+                    held.append((shingles[a:b].copy(), key, n))
+                    total += low
+            made.append((key % (1 << 64) % parts, n, low, key, t))
+            if total >= FLUSH:
+                yield from flush()
+                total = 0
+        if wanted is None:
+            n = len(made)
+            blank = pa.nulls(n, pa.binary())
+            part, sizes, lows, classes, texts = zip(*made, strict=True) if made else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, _DOC, np.int32)), pa.array(part, pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int32()),
+                 pa.array(lows, pa.int32()), pa.array(classes, pa.int64()), pa.array(texts, pa.int64()), blank, blank], schema=_DEALT_ARROW)
     if held:
         yield from flush()
 
@@ -187,25 +220,52 @@ def _count(group: pa.Table, parts: int) -> pa.Table:
         d = np.where(often[at] == h, FREQUENT_DF, d)
     keep = d >= 2
     h, c, s, d = h[keep], c[keep], s[keep], d[keep].astype(np.int32)
-    dealt = _split((c.view(np.uint64) % np.uint64(parts)).astype(np.int32), h, c, s, d)
+    dealt = _split(_by_class(c, parts), h, c, s, d)
     return pa.Table.from_arrays([pa.array([p for p, _ in dealt], pa.int32()), pa.array([pack_entries(*x) for _, x in dealt], pa.binary())], schema=_SHARED_ARROW)
 
 
+_LEFT = "part int, e binary, slots array<int>, rest long"
+_LEFT_ARROW = pa.schema([("part", pa.int32()), ("e", pa.binary()), ("slots", pa.list_(pa.int32())), ("rest", pa.int64())])
+
+
+def _distinct_entries(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed entries by class, from rare to frequent, each once."""
+    h, c, s, d = unpack_entries(values)
+    order = np.lexsort((h, d, c))
+    h, c, s, d = h[order], c[order], s[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return h[new], c[new], s[new], d[new]
+
+
+def _left(group: pa.Table, percent: int) -> pa.Table:
+    """What the first round leaves of a part's classes: their entries, the slots of a text of each, and the number of
+    their shingles that the second round deals."""
+    rows = group.filter(pc.is_valid(group.column("t")))
+    n, low, c, t = (rows.column(x).to_numpy().astype(np.int64) for x in ("n", "low", "class", "t"))
+    classes, first = np.unique(c, return_index=True)
+    n, low, t = n[first], low[first], t[first]
+    h, c, s, d = _distinct_entries(group.column("e").to_pylist())
+    at = np.searchsorted(classes, c)
+    own = low - np.bincount(at, minlength=len(classes))
+    left = (n > 0) & (own <= n - -(-percent * n // 100))
+    keep = left[at]
+    return pa.Table.from_arrays(
+        [pa.array([group.column("part")[0].as_py()], pa.int32()), pa.array([pack_entries(h[keep], c[keep], s[keep], d[keep])], pa.binary()),
+         pa.array([(t[left] & (SLOTS - 1)).astype(np.int32)], pa.list_(pa.int32())), pa.array([int((n - low)[left].sum())], pa.int64())], schema=_LEFT_ARROW)
+
+
 _CANDIDATE = "class long, n int, grp long, m int, core double, prefix array<long>, shared binary"
 _CANDIDATE_ARROW = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("grp", pa.int64()), ("m", pa.int32()), ("core", pa.float64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
 
 def _prefixes(group: pa.Table, percent: int) -> pa.Table:
     """Classes of a part whose prefix holds a shared shingle: group key, shared part of the prefix, shared shingles."""
-    h, c, s, d = unpack_entries(group.column("e").to_pylist())
-    order = np.lexsort((h, d, c))
-    c, h, d, s = c[order], h[order], d[order], s[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    c, h, s, d = c[new], h[new], s[new], np.log2(d[new])
-    first = np.flatnonzero(np.diff(c, prepend=c[:1] - 1)) if len(c) else []
+    h, c, s, d = _distinct_entries(group.column("e").to_pylist())
+    d = np.log2(d)
+    bounds = [*np.flatnonzero(np.diff(c, prepend=c[:1] - 1)).tolist(), len(c)]
     rows = []
-    for a, b in zip(first, [*first[1:], len(c)], strict=True):
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         n = int(s[a])
         need = -(-percent * n // 100)
         k = n - need + 1 - (n - (b - a))
@@ -239,17 +299,20 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     Classes are equal shingle sets; two classes have the same root exactly if links lead from one to the other.
     """
-    parts = max(4, -(-text_bytes(docs) // PART_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda x: _deal(x, parts, size), _DEALT)
-    empty_shared = ("kind int, doc_id long, n int, class long, " + _SHARED)
-    out_arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("class", pa.int64()), *_SHARED_ARROW])
+    total = text_bytes(docs)
+    parts = max(4, -(-total // PART_BYTES))
+    # A class passes by a share of hashes if (100 - percent) % of its shingles are its own there: the bound is 60 % of them.
+    cut = min(HASHES, HASHES * (100 - percent) // 60)
+    ranges = max(4, -(-total * cut // HASHES // PART_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+    dealt = texts.mapInArrow(lambda x: _deal(x, parts, ranges, size, 0, cut), _DEALT)
+    shared_rows = "kind int, doc_id long, n int, low int, class long, t long, " + _SHARED
+    out_arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("low", pa.int32()), ("class", pa.int64()), ("t", pa.int64()), *_SHARED_ARROW])
 
     def count(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_numpy()
         rows = group.filter(pa.array(kinds == _DOC))
-        n = rows.num_rows
-        made = [pa.Table.from_arrays([rows.column("kind"), rows.column("doc_id"), rows.column("n"), rows.column("class"),
-                                      rows.column("part"), pa.nulls(n, pa.binary())], schema=out_arrow)]
+        made = [pa.Table.from_arrays([*(rows.column(x) for x in ("kind", "doc_id", "n", "low", "class", "t", "part")), pa.nulls(rows.num_rows, pa.binary())], schema=out_arrow)]
         hot = []
         for e in group.filter(pa.array(kinds == _HOT)).column("e").to_pylist():
             h, c, s, _ = unpack_entries([e])
@@ -257,18 +320,34 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         shared = _count(group.filter(pa.array(kinds == _ENTRY)), parts)
         for part, e in ((pa.array([group.column("part")[0].as_py()] * len(hot), pa.int32()), pa.array(hot, pa.binary())), shared.columns):
             n = len(e)
-            made.append(pa.Table.from_arrays(
-                [pa.array(np.full(n, 1, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), part, e], schema=out_arrow))
+            blank = [pa.nulls(n, x) for x in out_arrow.types[1:6]]
+            made.append(pa.Table.from_arrays([pa.array(np.full(n, 1, np.int32)), *blank, part, e], schema=out_arrow))
         return pa.concat_tables(made)
 
-    counted = stored(dealt.groupBy("part").applyInArrow(count, empty_shared), "shingles", "kind")
+    counted = stored(dealt.groupBy("part").applyInArrow(count, shared_rows), "shingles", "kind")
     rows = counted.where("kind = 0").select("doc_id", "n", "class")
-    candidates = stored(
-        counted.where("kind = 1").select("part", "e").groupBy("part").applyInArrow(lambda x: _prefixes(x, percent), _CANDIDATE),
-        "prefixes")
+    left = stored(
+        counted.where("kind = 1 or t is not null").select("part", "n", "low", "class", "t", "e").groupBy("part").applyInArrow(lambda x: _left(x, percent), _LEFT),
+        "left")
+    rest = left.agg(F.coalesce(F.sum("rest"), F.lit(0)).alias("rest")).first()["rest"]
+    entries = left.select("part", "e")
+    if rest:
+        wanted, more = _slots(left), max(4, -(-8 * rest // PART_BYTES))
+        others = texts.mapInArrow(lambda x: _deal(x, parts, more, size, cut, HASHES, wanted), _DEALT)
+        entries = entries.union(others.groupBy("part").applyInArrow(count, shared_rows).select("part", "e"))
+    candidates = stored(entries.groupBy("part").applyInArrow(lambda x: _prefixes(x, percent), _CANDIDATE), "prefixes")
     return rows, _link(candidates, percent)
 
 
+def _slots(left: DataFrame) -> np.ndarray:
+    """The table of ``SLOTS`` bits in words of 64, bounded whatever the number of texts."""
+    words = left.select(F.explode("slots").alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits")).toArrow()
+    table = np.zeros(SLOTS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table
+
+
 def _link(sets: DataFrame, percent: int) -> DataFrame:
     groups = sets.groupBy("grp", "n").agg(F.min("class").alias("leader"), F.max("m").alias("m"), F.max("core").alias("core"), F.first("prefix").alias("prefix"))
     postings = stored(groups.select("grp", "n", "m", "leader", "core", F.explode("prefix").alias("h")), "postings")

@@ -5,11 +5,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from check import compare, duck
 from curascore.llm import decontaminate, jaccard_join
 from curascore.llm.ann import nearest_neighbours
+from curascore.llm.base import stored
 from curascore.llm.components import components
 from curascore.llm.decontaminate import contamination
 from curascore.llm.jaccard_join import jaccard_components, one_of_each
@@ -96,6 +98,46 @@ def test_jaccard_without_shared_shingles(make):
     assert sorted(map(tuple, got)) == [(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 36, 3), (4, 696, 4)]
 
 
+@pytest.mark.parametrize("percent", [20, 50, 100])
+def test_jaccard_other_shares(make, percent):
+    """From all hashes in the first round (20 %) to none (100 %)."""
+    rows = [*near_copies(4, 3, 12, 40), (5000, "one"), (5001, "ONE"), (5002, "one two three"), (5003, "")]
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= percent * (len(a) + len(sets[j]) - both) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    least = {r: min(n for (n, _), x in zip(rows, root, strict=True) if x == r) for r in root}
+    got = jaccard_components(make([(*r, "en", "a") for r in rows]), percent).drop("class").collect()
+    assert sorted(map(tuple, got)) == sorted((n, len(sets[i]), least[root[i]]) for i, (n, _) in enumerate(rows))
+
+
+def test_jaccard_second_round_is_for_what_may_link(make, monkeypatch):
+    """Texts whose shingles are mostly their own send a third of them; those that may be linked send the rest as well."""
+    kept = {}
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, tag, *by: kept.setdefault(tag, stored(df, tag, *by)))
+    alone = [(i, " ".join(f"w{i}_{k}" for k in range(300)) + " a passage that all of these texts hold at their end", "en", "a") for i in range(40)]
+    copies = [(100 + i, " ".join(f"c{k}" for k in range(300)) + f" e{i}", "en", "a") for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(make(alone + copies)).collect()}
+    assert got == {**{i: i for i in range(40)}, **dict.fromkeys(range(100, 105), 100)}
+    rest = sum(r["rest"] for r in kept["left"].collect())
+    assert 5 * 297 / 2 < rest < 5 * 297
+
+
+def test_jaccard_entries_keep_their_size():
+    """An entry's hash takes no more room in more ranges: within a range, hashes lie as close as among all."""
+    shingles_of = np.unique(np.random.default_rng(1).integers(0, 2**64, 60_000, np.uint64))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [" ".join(map(str, shingles_of))], "t": pa.array([7], pa.int64())})
+
+    def room(ranges):
+        found = [e for b in jaccard_join._deal([batch], 4, ranges, 5, 0, jaccard_join.HASHES) for e in b.column("e").to_pylist() if e]
+        assert len(found) == ranges and len(jaccard_join.unpack_entries(found)[0]) == 59_996
+        return sum(len(e) for e in found)
+
+    assert room(16) < 1.05 * room(1)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (None, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
